@@ -153,7 +153,7 @@ def _encoder(df: DataFrame, spec: TableSpec, write) -> DataFrame:
         for batch in batches:
             data = [c.to_pylist() for c in batch.columns[len(meta) :]]
             messages = [write(list(values), kinds) for values in zip(*data, strict=True)]
-            yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(batch.columns, arrow, strict=False)][: len(meta)], pa.array(messages, pa.binary())], schema=arrow)
+            yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(batch.columns[: len(meta)], arrow, strict=False)], pa.array(messages, pa.binary())], schema=arrow)
 
     return flat.mapInArrow(run, schema)
 

@@ -53,9 +53,6 @@ def _images(df: DataFrame, spec: TableSpec, rows: list[tuple[Column | None, str,
     return out.select(*data, F.col("_row._kind").alias("_kind"), "_origin", "_seq", "_turn")
 
 
-_NONE = F.lit(None)
-
-
 def _or_empty(image: Column) -> Column:
     return F.coalesce(image, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>")))
 
