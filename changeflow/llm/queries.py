@@ -72,8 +72,7 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.DataFrame([_read_back(t, list(s)) for t, s in zip(formatted, spans, strict=True)], columns=["turns_sha256", "loss_chars", "loss_sha256"])
 
     got = got.withColumn("d", digests("formatted", "loss_spans"))
-    n_tokens = F.aggregate("loss_tokens", F.lit(0).cast("bigint"), lambda n, x: n + x["b"] - x["a"])
-    return got.select("conv_id", "n_turns", "d.turns_sha256", "d.loss_chars", "d.loss_sha256", F.length("formatted").cast("bigint").alias("formatted_chars"), n_tokens.alias("loss_tokens"))
+    return got.select("conv_id", "n_turns", "d.turns_sha256", "d.loss_chars", "d.loss_sha256", F.length("formatted").cast("bigint").alias("formatted_chars"))
 
 
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +102,7 @@ def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mixing.mix(table(spark, sf_dir, "documents"))
-    return got.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "rate", "copies")
+    return got.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
