@@ -32,6 +32,8 @@ PIVOTS = 128
 BLOCK = 8192
 QUERIES = 2048
 LEAF = 128
+#: Scores of a leaf pair are made in tiles of this side.
+TILE = 1024
 SHRINK = 1.3
 
 
@@ -52,7 +54,9 @@ class Node:
         self.kids: list[Node] = []
 
 
-def cover_tree(x: np.ndarray, leaf: int = LEAF) -> Node:
+def cover_tree(x: np.ndarray, leaf: int = LEAF, least: int = LEAF // 4) -> Node:
+    """A node stays a leaf if its children would hold fewer than `least` points on average: where distances are all alike,
+    smaller balls bound nothing, and a leaf's scores are one matrix product."""
     distance = lambda points, c: np.sqrt(((x[points] - x[c]) ** 2).sum(1))
     everyone = np.arange(len(x))
     root = Node(everyone, 0, distance(everyone, 0), x)
@@ -62,16 +66,17 @@ def cover_tree(x: np.ndarray, leaf: int = LEAF) -> Node:
         if len(node.points) <= leaf or node.radius == 0:
             continue
         reach = node.radius / SHRINK
-        left, c = node.points, centre
-        while len(left):
+        left, c, kids = node.points, centre, []
+        while len(left) and len(kids) * least <= len(node.points):
             away = distance(left, c)
             near = away <= reach
-            kid = Node(left[near], c, away[near], x)
-            node.kids.append(kid)
-            todo.append((kid, c))
+            kids.append((Node(left[near], c, away[near], x), c))
             left = left[~near]
             if len(left):
                 c = left[int(away[~near].argmax())]
+        if not len(left):
+            node.kids = [k for k, _ in kids]
+            todo += kids
     return root
 
 
@@ -87,14 +92,23 @@ class Best:
         return float(np.maximum(self.scores[points, -1], self.least[points]).min())
 
     def offer(self, points: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """ids ascend. Only what reaches a query's kth score, so far or among these scores, is sorted in."""
         floor = np.maximum(self.scores[points, -1], self.least[points])
-        rows = np.flatnonzero((scores >= floor[:, None]).any(1))
+        if scores.shape[1] > 2 * self.k:
+            floor = np.maximum(floor, np.partition(scores, -self.k, 1)[:, -self.k])
+        good = (scores >= floor[:, None]) & (scores > -np.inf)
+        count = good.sum(1)
+        rows = np.flatnonzero(count)
         if not len(rows):
             return
-        points, scores = points[rows], scores[rows]
-        scores = np.where(scores >= self.least[points][:, None], scores, -np.inf)
-        all_scores = np.concatenate([self.scores[points], scores], 1)
-        all_ids = np.concatenate([self.ids[points], np.where(np.isfinite(scores), ids[None], np.iinfo(np.int64).max)], 1)
+        r, c = np.nonzero(good[rows])
+        at = np.arange(len(r)) - np.repeat(np.cumsum(count[rows]) - count[rows], count[rows])
+        points, width = points[rows], int(count[rows].max())
+        new_scores = np.full((len(rows), width), -np.inf)
+        new_ids = np.full((len(rows), width), np.iinfo(np.int64).max)
+        new_scores[r, at], new_ids[r, at] = scores[rows][r, c], ids[c]
+        all_scores = np.concatenate([self.scores[points], new_scores], 1)
+        all_ids = np.concatenate([self.ids[points], new_ids], 1)
         order = np.argsort(all_ids, 1, kind="stable")
         order = np.take_along_axis(order, np.argsort(-np.take_along_axis(all_scores, order, 1), 1, kind="stable"), 1)[:, : self.k]
         self.scores[points] = np.take_along_axis(all_scores, order, 1)
@@ -118,9 +132,13 @@ def dual_search(q: np.ndarray, q_rows: np.ndarray, x: np.ndarray, x_rows: np.nda
         if -top < best.worst(m.points):
             continue
         if not m.kids and not n.kids:
-            scores = fq[m.points] @ fx[n.points].T if exact else (q[m.points] @ x[n.points].T).astype(np.float64)
-            scores = np.where(q_rows[m.points][:, None] == x_rows[n.points][None], -np.inf, scores)
-            best.offer(m.points, scores, ids[n.points])
+            for k0 in range(0, len(m.points), TILE):
+                some = m.points[k0 : k0 + TILE]
+                for k1 in range(0, len(n.points), TILE):
+                    them = n.points[k1 : k1 + TILE]
+                    scores = fq[some] @ fx[them].T if exact else (q[some] @ x[them].T).astype(np.float64)
+                    scores[q_rows[some][:, None] == x_rows[them][None]] = -np.inf
+                    best.offer(some, scores, ids[them])
             continue
         # The wider node is split; both have bounds that only shrink.
         split_m = bool(m.kids) and (not n.kids or m.radius >= n.radius)
