@@ -17,6 +17,7 @@ from __future__ import annotations
 import bisect
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +31,31 @@ WINDOW = 4096
 END = 2
 OPEN = 64
 #: Neighbouring partitions whose open windows are merged together, at most one of them not filled.
-MERGED = 1024
+MERGED = 16
 
 _SCHEMA = "closed boolean, part long, turn long, key long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 #: Letters that are lower-cased one by one alike everywhere, that NFC leaves alone, and white space that all split at.
 _PLAIN = re.compile("[\t\n\v\f\r\x20-\x7e\xa1-\xac\xae-įı-ɏ]*").fullmatch
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_KEPT = 300_000
+_KEPT = 200_000
+
+
+class Recent(dict):
+    """A dict that forgets what wasn't asked for lately: beyond `most` entries, the last generation but one goes."""
+
+    def __init__(self, most: int, learn):
+        super().__init__()
+        self.most, self.learn, self.old = most, learn, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.learn(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class WordEncoder:
@@ -45,48 +64,35 @@ class WordEncoder:
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.pieces_of = regex.compile(_SPLIT).findall
-        last = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, k in self.tokenizer.get_vocab().items():
-            last[k] = token.endswith("</w>")
-        self.last = last
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.merge = self.tokenizer.model.tokenize
+        self.pieces = Recent(_KEPT, self._piece)
+        self.words = Recent(_KEPT, self._word)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn_pieces(self, new: list[str]) -> None:
-        if len(self.pieces) + len(new) > _KEPT:
-            self.pieces.clear()
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            for piece, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.pieces[piece] = np.array(got.ids, "<u4").tobytes()
-
-    def _learn(self, new: list[str]) -> None:
-        split = [self.pieces_of(w) for w in new]
-        wanted = {p for ps in split for p in ps}
-        if len(self.pieces) + len(wanted) > _KEPT:
-            self.pieces.clear()
-        self._learn_pieces([p for p in wanted if p not in self.pieces])
-        get = self.pieces.__getitem__
-        for word, ps in zip(new, split, strict=True):
-            self.words[word] = b"".join(map(get, ps))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [_PLAIN(t) is not None and "<|" not in t for t in texts]
-        split = [t.lower().split() if ok else [] for t, ok in zip(texts, plain, strict=True)]
-        if len(self.words) > _KEPT:
-            self.words.clear()
-        known = self.words
-        new = {w for ws in split for w in ws if w not in known}
-        if new:
-            self._learn(list(new))
-        get = known.__getitem__
-        return [b"".join(map(get, ws)) if ok else self.whole(t) for t, ws, ok in zip(texts, split, plain, strict=True)]
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else self.as_bytes(piece)[0][0]
+        return b"".join([t.id.to_bytes(4, "little") for t in self.merge(shown)])
+
+    def _word(self, word: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.pieces_of(word)))
+
+    def encode(self, text: str) -> bytes:
+        if _PLAIN(text) is None or "<|" in text:
+            return self.whole(text)
+        return b"".join(map(self.words.__getitem__, text.lower().split()))
+
+
+@cache
+def encoder_of(path: str) -> WordEncoder:
+    """One for each Python worker, kept from task to task."""
+    return WordEncoder(path)
 
 
 class Windows:
@@ -141,7 +147,7 @@ def _packer(path: str, window: int, end: int, most: int):
         schema = pa.schema(
             [("closed", pa.bool_())] + [(c, pa.int64()) for c in ("part", "turn", "key", "start", "length", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.binary())]
         )
-        encoder, tail = WordEncoder(path), np.array([end], "<u4").tobytes()
+        encode, tail = encoder_of(path).encode, np.array([end], "<u4").tobytes()
         windows = Windows(TaskContext.get().partitionId(), window, most)
         rows: list[tuple] = []
 
@@ -152,9 +158,8 @@ def _packer(path: str, window: int, end: int, most: int):
 
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for k in range(0, len(keys), 64):
-                for key, ids in zip(keys[k : k + 64], encoder.encode([t or "" for t in texts[k : k + 64]]), strict=True):
-                    rows.extend(windows.place(key, ids + tail))
+            for key, text in zip(keys, texts, strict=True):
+                rows.extend(windows.place(key, encode(text or "") + tail))
                 if len(rows) >= 512:
                     yield flushed()
         rows.extend(windows.close())
