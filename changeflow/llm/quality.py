@@ -27,7 +27,7 @@ from pyspark.sql.functions import pandas_udf
 from changeflow.llm.common import WORD, arrow_batches
 
 MIN_WORDS = 50
-#: The bound of the fit: so many labelled documents of each quality, about, by a hash of the id.
+#: The bound of the fit: so many labelled documents of each quality, those with the least hashes of their ids.
 FIT_DOCS = 300
 SHARE = 0.5
 SYMBOLS = "#*$%&|<>"
@@ -158,15 +158,13 @@ FIT_LINES = 64
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality", most: int = FIT_DOCS) -> Field | None:
-    """A field from at most about `most` labelled documents of either quality; None if one quality has none."""
+    """A field from at most `most` labelled documents of either quality; None if one quality has none."""
     arrow_batches(docs.sparkSession)
     labelled = labels.filter(F.col(quality).isin(0, 1)).groupBy(F.col(key).alias("_key")).agg(F.max(quality).alias("_q"), F.min(quality).alias("_low")).filter("_q = _low")
-    sizes = {r["_q"]: r["n"] for r in labelled.groupBy("_q").agg(F.count("*").alias("n")).collect()}
-    if len(sizes) < 2:
-        return None
-    share = F.when(F.col("_q") == 1, min(1.0, most / sizes[1])).otherwise(min(1.0, most / sizes[0]))
-    few = labelled.filter(F.pmod(F.xxhash64("_key"), F.lit(1 << 20)) < share * (1 << 20))
-    picked = docs.join(few, F.col(key) == F.col("_key")).filter(F.col(text).isNotNull()).select(F.col(key).cast("string"), F.col("_q").cast("int"), F.col(text))
+    # So many ids of either quality, those with the least hashes: small enough to broadcast, whatever the tables' size.
+    few = [labelled.filter(F.col("_q") == q).orderBy(F.xxhash64("_key"), "_key").limit(most) for q in (0, 1)]
+    chosen = F.broadcast(few[0].unionByName(few[1]))
+    picked = docs.join(chosen, F.col(key) == F.col("_key")).filter(F.col(text).isNotNull()).select(F.col(key).cast("string"), F.col("_q").cast("int"), F.col(text))
     got = picked.mapInArrow(_feature_rows, "key string, quality int, x binary").collect()
     samples = [(np.frombuffer(r["x"], "<f8").reshape(-1, len(FEATURES)), bool(r["quality"])) for r in sorted(got, key=lambda r: (r["key"], r["x"]))]
     if len({y for _, y in samples}) < 2:
