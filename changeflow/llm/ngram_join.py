@@ -270,7 +270,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay: one of each class, that with the least key."""
+    """The rows of docs that stay: one of each class, that with the least key. Columns `_key`, `_hash` and `_n` go."""
+    docs = docs.drop("_key", "_hash", "_n")
     kept = save(near_duplicates(docs, key, text), "deduplicated")
     same = ["_key", "_hash"]
     times = kept.groupBy(F.col(key).alias("_key"), F.col("hash").alias("_hash")).agg(F.count("*").alias("_n"), F.max("stays").alias("_stays")).filter("_stays").drop("_stays")

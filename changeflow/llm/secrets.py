@@ -8,7 +8,7 @@ Only hashes and path ids are grouped, so thousands of copies of one text cost on
 to meet the list of blobs to scan; that list is the build side of a hash join, so texts are never sorted.
 
 Defined results: a null text counts as empty; repeated rows each get the findings of their blob; an empty table gives no
-rows; other columns are carried along untouched (`_blob`, `_spans` and `_path` are reserved names).
+rows; other columns are carried along untouched (but for `_blob` and `_spans`, which are replaced).
 """
 
 from __future__ import annotations
@@ -64,6 +64,7 @@ _FOUND = "array<struct<s:bigint,k:int,e:bigint,kind:string,m:string>>"
 def scan(versions: DataFrame, path: str = "doc_id", text: str = "text", ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """versions with `_blob` and `_spans`, tagged spans of all rules. ledger: its folder, kept between scans."""
     spark = versions.sparkSession
+    versions = versions.drop("_blob", "_spans")
     ledger = ledger or scratch_path(spark, "ledger")
     content = F.coalesce(F.col(text), F.lit(""))
     addressed = versions.withColumn("_blob", F.sha2(content, 256))
