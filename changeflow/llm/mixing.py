@@ -8,8 +8,9 @@ words per source, which are aggregated once; they end when every source is withi
 
 Rates become copies by systematic rounding along each source's documents in order of size: of the first i documents,
 floor(i * r + 1/2) copies are taken, so deviations cancel between neighbours of like size. What is left, one large
-document's size at most, is evened out by one copy more or less of the smallest documents. Ranks come from counts of
-(source, size) and, within those, from buckets of bounded size: no task orders a whole source.
+document's size at most, is evened out in a few passes by one copy more or less of the smallest documents that have room.
+All this is on counts of (source, size); within those, documents are ranked in buckets of bounded size, so no task orders a
+whole source.
 
 Defined results: a null or empty text has size 0 and is never copied; null is a source of its own, the last; repeated rows
 are rows of their own, whose order among equals is arbitrary but whose number of copies is the same on a rerun for rows
@@ -25,7 +26,9 @@ from changeflow.llm.common import WORD, save
 
 CAP = 3.0
 #: Rows that one task ranks, about.
-BUCKET = 4096
+BUCKET = 1024
+#: How often what is left of a target is evened out.
+PASSES = 4
 #: Newton steps between two looks at the gradient.
 STEPS = 10
 _EPS = 1e-9
@@ -87,45 +90,38 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """One row per row of docs: key, size, source, source_size, target, rate, copies (0 to 3)."""
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
     sized = save(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), words.alias("size")), "sizes")
-    # `full`: documents are counted by (source, size) once; all that follows but the ranks is on those counts.
+    # Documents are counted by (source, size) once; all that follows but the ranks is on those counts.
     counts = save(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "size-counts")
     sums = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"))
     rates = save(balance(targets(sums)), "rates")
     same = lambda r: F.col("source").eqNullSafe(F.col(r))
     rate = rates.select(F.col("source").alias("_s"), "words", "target", "rate")
     in_order = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum("n").over(in_order), F.lit(0))
-    classes = counts.withColumn("ahead", offset).join(rate, same("_s")).drop("_s")
-    # Copies among ranks a to b (exclusive) of a source: floor(b * r + 1/2) - floor(a * r + 1/2).
+    ahead = F.coalesce(F.sum("n").over(in_order), F.lit(0))
+    classes = counts.withColumn("ahead", ahead).join(rate, same("_s")).drop("_s")
+    # Copies among the documents of ranks a to b (exclusive) of a source: floor(b * r + 1/2) - floor(a * r + 1/2).
     upto = lambda i: F.floor(i * F.col("rate") + 0.5 + _EPS)
-    taken = upto(F.col("ahead") + F.col("n")) - upto(F.col("ahead"))
-    classes = classes.withColumn("given", taken)
-    # One class's room for one copy more (rate under 3) or less: documents with a copy fewer than 3, or with one to lose.
-    low = F.floor(F.col("rate") + _EPS)
-    high_n = F.col("given") - low * F.col("n")  # so many have low + 1 copies, the others low
-    more = F.when(low + 1 < CAP, F.col("n")).when(low < CAP, F.col("n") - high_n).otherwise(0)
-    less = F.when(low >= 1, F.col("n")).otherwise(high_n)
-    classes = classes.withColumn("off", F.col("target") - F.sum(F.col("size") * F.col("given")).over(Window.partitionBy("source")))
-    room = F.when(F.col("size") == 0, 0).when(F.col("off") > 0, more).otherwise(less)
-    classes = classes.withColumn("room", room.cast("bigint"))
-    spent = F.coalesce(F.sum(F.col("size") * F.col("room")).over(in_order), F.lit(0))
-    fit = F.floor((F.abs("off") - spent) / F.greatest(F.col("size"), F.lit(1)) + 0.5)
-    classes = classes.withColumn("flips", F.greatest(F.least(fit, F.col("room")), F.lit(0)) * F.signum("off"))
-    plan = save(classes.select("source", "size", "ahead", "words", "target", "rate", "flips", "off"), "plan")
+    classes = classes.withColumn("given", upto(F.col("ahead") + F.col("n")) - upto(F.col("ahead"))).drop("ahead")
+    for k in range(PASSES):
+        off = F.col("target") - F.sum(F.col("size") * F.col("given")).over(Window.partitionBy("source"))
+        classes = classes.withColumn("off", off)
+        room = F.least(F.col("n"), F.when(F.col("off") > 0, CAP * F.col("n") - F.col("given")).otherwise(F.col("given")))
+        classes = classes.withColumn("room", F.when(F.col("size") == 0, 0).otherwise(room).cast("bigint"))
+        spent = F.coalesce(F.sum(F.col("size") * F.col("room")).over(in_order), F.lit(0))
+        # A pass but the last may go past the mark, if the next one can come back by the smaller documents it has used up.
+        size = F.greatest(F.col("size"), F.lit(1))
+        exact = (F.abs("off") - spent) / size
+        near, past = F.floor(exact + 0.5), F.ceil(exact - _EPS)
+        fit = F.when((past - exact) * size <= spent, past).otherwise(near) if k < PASSES - 1 else near
+        flips = F.greatest(F.least(fit, F.col("room")), F.lit(0)) * F.signum("off")
+        classes = classes.withColumn("given", (F.col("given") + flips).cast("bigint"))
+    plan = save(classes.select(F.col("source").alias("_s"), F.col("size").alias("_z"), "n", "words", "target", "rate", "given"), "plan")
     ranked = _ranked(sized, ["source", "size"], "key", "rank")
-    chosen = ranked.join(plan.withColumnsRenamed({"source": "_s", "size": "_z"}), [same("_s"), F.col("size") == F.col("_z")])
-    at = F.col("ahead") + F.col("rank")
-    chosen = chosen.withColumn("copies", (upto(at + 1) - upto(at)).cast("bigint"))
-    # Flips go to the first documents of the class, in rank order, that have room; those are counted from the same formula.
-    has = F.when(F.col("off") > 0, F.col("copies") < CAP).otherwise(F.col("copies") > 0)
-    base = F.floor(F.col("rate") + _EPS)
-    highs = upto(at) - upto(F.col("ahead")) - base * F.col("rank")  # with base + 1 copies among those before
-    lows = F.col("rank") - highs
-    ahead_more = F.when(base + 1 < CAP, F.col("rank")).otherwise(lows)
-    ahead_less = F.when(base >= 1, F.col("rank")).otherwise(highs)
-    turn = F.when(F.col("off") > 0, ahead_more).otherwise(ahead_less)
-    flipped = has & (F.col("size") > 0) & (turn < F.abs("flips"))
-    copies = F.when(F.col("size") == 0, 0).otherwise(F.col("copies") + F.when(flipped, F.signum("flips")).otherwise(0)).cast("bigint")
+    chosen = ranked.join(plan, [same("_s"), F.col("size") == F.col("_z")])
+    # Documents of one source and size are alike: copies are spread evenly over them, what remains goes to the first.
+    low = F.floor(F.col("given") / F.col("n"))
+    copies = low + F.when(F.col("rank") < F.col("given") - low * F.col("n"), 1).otherwise(0)
+    copies = F.when(F.col("size") == 0, 0).otherwise(copies).cast("bigint")
     return chosen.select(
         F.col("key").alias(key), "size", F.col("source").alias(source), F.col("words").alias("source_size"), "target", "rate", copies.alias("copies")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from changeflow.llm import ngram_join
+from changeflow.llm import mixing, ngram_join
 from changeflow.llm.common import WORD
 from changeflow.llm.queries import CONTROL
 
@@ -64,6 +64,16 @@ k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) A
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM k WHERE rank <= 20
 """
 
+_FIT = "CASE WHEN (ceil(exact - 1e-9) - exact) * greatest(size, 1) <= spent THEN ceil(exact - 1e-9) ELSE floor(exact + 0.5) END"
+_PASSES = "".join(
+    f"""o{k} AS (SELECT *, target - sum(size * given) OVER (PARTITION BY source) AS off FROM g{k}),
+r{k} AS (SELECT *, CASE WHEN size = 0 THEN 0 ELSE least(n, CASE WHEN off > 0 THEN 3 * n - given ELSE given END) END AS room FROM o{k}),
+s{k} AS (SELECT *, coalesce(sum(size * room) OVER (PARTITION BY source ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent, (abs(off) - spent) / greatest(size, 1) AS exact FROM r{k}),
+g{k + 1} AS (SELECT * EXCLUDE (off, room, spent, exact, given), (given + sign(off) * greatest(least({_FIT if k < mixing.PASSES - 1 else 'floor(exact + 0.5)'}, room), 0))::BIGINT AS given FROM s{k}),
+"""
+    for k in range(mixing.PASSES)
+)
+
 MIXING = f"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size FROM documents),
 w AS (SELECT source, sum(size)::BIGINT AS words, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM d GROUP BY source),
@@ -72,14 +82,13 @@ v AS (SELECT *, (sum(words) OVER () - 3.0::DOUBLE * coalesce(sum(words) OVER p,
   WINDOW p AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, words, CASE WHEN ratio <= level THEN words * 3.0::DOUBLE ELSE max(CASE WHEN ratio > level THEN level END) OVER () * weight END AS target FROM v),
 r AS (SELECT *, CASE WHEN words > 0 THEN least(round(target / words, 9), 3.0)::DOUBLE ELSE 1.0::DOUBLE END AS rate FROM t),
-i AS (SELECT d.*, words, target, rate, row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id) - 1 AS pos FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-c AS (SELECT *, floor((pos + 1) * rate + 0.5 + 1e-9)::BIGINT - floor(pos * rate + 0.5 + 1e-9)::BIGINT AS copies FROM i),
-f AS (SELECT *, target - sum(copies * size) OVER (PARTITION BY source) AS off FROM c),
-g AS (SELECT *, CASE WHEN size > 0 AND ((off > 0 AND copies < 3) OR (off <= 0 AND copies > 0)) THEN 1 ELSE 0 END AS room FROM f),
-h AS (SELECT *, coalesce(sum(room * size) OVER (PARTITION BY source ORDER BY size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) AS spent,
-  sum(room) OVER (PARTITION BY source, size ORDER BY doc_id) AS turn FROM g),
-x AS (SELECT *, copies + CASE WHEN room = 1 AND turn <= floor((abs(off) - spent) / greatest(size, 1) + 0.5) THEN sign(off) ELSE 0 END AS n FROM h)
-SELECT doc_id, size, words AS source_size, round(target, 6) AS target, (CASE WHEN size = 0 THEN 0 ELSE n END * size)::BIGINT AS taken, source, (CASE WHEN size = 0 THEN 0 ELSE n END)::BIGINT AS copies FROM x
+i AS (SELECT d.source, size, words, target, rate, count(*) AS n FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source GROUP BY ALL),
+j AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY source ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM i),
+g0 AS (SELECT *, floor((ahead + n) * rate + 0.5 + 1e-9)::BIGINT - floor(ahead * rate + 0.5 + 1e-9)::BIGINT AS given FROM j),
+{_PASSES}
+k AS (SELECT d.*, g.words, g.target, g.n, g.given, row_number() OVER (PARTITION BY d.source, d.size ORDER BY d.doc_id) - 1 AS rank FROM d JOIN g{mixing.PASSES} g ON d.source IS NOT DISTINCT FROM g.source AND d.size = g.size),
+x AS (SELECT *, CASE WHEN size = 0 THEN 0 ELSE given // n + CASE WHEN rank < given % n THEN 1 ELSE 0 END END::BIGINT AS copies FROM k)
+SELECT doc_id, size, words AS source_size, round(target, 6) AS target, (copies * size)::BIGINT AS taken, source, copies FROM x
 """
 
 
