@@ -164,7 +164,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     # So many ids of either quality, those with the least hashes: small enough to broadcast, whatever the tables' size.
     few = [labelled.filter(F.col("_q") == q).orderBy(F.xxhash64("_key"), "_key").limit(most) for q in (0, 1)]
     chosen = F.broadcast(few[0].unionByName(few[1]))
-    picked = docs.join(chosen, F.col(key) == F.col("_key")).filter(F.col(text).isNotNull()).select(F.col(key).cast("string"), F.col("_q").cast("int"), F.col(text))
+    texts = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text")).filter(F.col("_text").isNotNull())
+    picked = texts.join(chosen, F.col("_doc") == F.col("_key")).select(F.col("_doc").cast("string"), F.col("_q").cast("int"), "_text")
     got = picked.mapInArrow(_feature_rows, "key string, quality int, x binary").collect()
     samples = [(np.frombuffer(r["x"], "<f8").reshape(-1, len(FEATURES)), bool(r["quality"])) for r in sorted(got, key=lambda r: (r["key"], r["x"]))]
     if len({y for _, y in samples}) < 2:
