@@ -50,14 +50,17 @@ _parts = re.compile(r"[A-Z]?[a-z]+|[A-Z]+").findall
 _marks = re.compile(r"[.,;:!?…。，！？]").findall
 
 
-@dataclass
+@dataclass(eq=False)
 class Element:
+    """outside: holds no main text. article: is or is in an article or main element. number: in page order."""
+
     name: str
     label: str
     inline: bool
     outside: bool
     up: Element | None
     number: int
+    article: bool = False
 
 
 @dataclass
@@ -71,27 +74,24 @@ class Block:
         return " ".join("".join(self.pieces).split())
 
 
-def _outside(name: str, rest: str, up: Element | None) -> tuple[bool, str]:
+def _outside(name: str, rest: str, up: Element) -> tuple[bool, str]:
     """Whether an element holds no main text, and its label in paths."""
     if name in OUTSIDE:
         return True, name
     got = {k.lower(): v.strip("\"'") for k, v in _attribute.findall(rest)} if len(rest) > 1 else {}
     own = {p.lower() for k in ("class", "id") for p in _parts(got.get(k, ""))}
     label = f"{name}.{'.'.join(sorted(own))}" if own else name
-    within = up
-    while within is not None and within.name not in ("article", "main"):
-        within = within.up
-    if name == "header" and within is None or got.get("role", "").lower() in ROLES:
+    if name == "header" and not up.article or got.get("role", "").lower() in ROLES:
         return True, label
     hidden = "hidden" in got or got.get("aria-hidden") == "true" or "display:none" in got.get("style", "").replace(" ", "").lower()
     named = name not in ("html", "body", "main") and own & NAMES and not (own & OWN and not own & {"comment", "comments", "ad", "ads"})
     return bool(hidden or named), label
 
 
-def blocks_of(html: str) -> list[Block]:
-    """Blocks with text, in page order."""
+def blocks_of(html: str) -> tuple[list[Block], list[Element]]:
+    """Blocks with text and block elements, in page order."""
     root = Element("", "", False, False, None, 0)
-    stack, out, made, at = [root], [Block(root)], 0, 0
+    stack, out, elements, at = [root], [Block(root)], [root], 0
     links = 0
 
     def add(raw: str) -> None:
@@ -149,9 +149,11 @@ def blocks_of(html: str) -> list[Block]:
                         break
                 elif stack[k].name in SCOPES and stack[k].name not in ends:
                     break
-        made += 1
-        outside, label = (stack[-1].outside, name) if inline else _outside(name, m["rest"], stack[-1])
-        stack.append(Element(name, label, inline, outside or stack[-1].outside, stack[-1], made))
+        outside, label = (name in OUTSIDE, name) if inline else _outside(name, m["rest"], stack[-1])
+        top = next(e for e in reversed(stack) if not e.inline)
+        stack.append(Element(name, label, inline, outside or stack[-1].outside, top, len(elements), top.article or name in ("article", "main")))
+        if not inline:
+            elements.append(stack[-1])
         if name in RAW:
             close = re.compile(rf"</{name}", re.I).search(html, at)
             at = close.start() if close else len(html)
@@ -162,64 +164,59 @@ def blocks_of(html: str) -> list[Block]:
             stack.pop()
             links -= name == "a"
     add(unescape(html[at:]))
-    return [b for b in out if not b.at.outside and "".join(b.pieces).strip()]
-
-
-def _up(e: Element | None) -> list[Element]:
-    out = []
-    while e is not None:
-        out.append(e)
-        e = e.up
-    return out
+    return [b for b in out if not b.at.outside and "".join(b.pieces).strip()], elements
 
 
 def extract(html: str | None, threshold: float = 0.3, cover: float = 0.8) -> str:
-    """threshold: of the mean score of paths, weighted by text; cover: share of content text the content element holds."""
-    blocks = blocks_of(html or "")
+    """threshold: of the mean score of paths, weighted by text; cover: share of content text the content element holds.
+
+    Elements stand in page order, parents before children: sums go up and marks go down in one pass each."""
+    blocks, elements = blocks_of(html or "")
     if not blocks:
         return ""
     texts = [b.text for b in blocks]
-    lines = [_up(b.at) for b in blocks]
-    paths = ["/".join(e.label for e in reversed(up)) for up in lines]
-    seen: dict[str, list[float]] = {}
-    for path, text, b in zip(paths, texts, blocks, strict=True):
-        x = seen.setdefault(path, [0, 0, 0, 0])
+    names: dict[tuple[int, str], int] = {}
+    path_of = [0] * len(elements)
+    for e in elements[1:]:
+        path_of[e.number] = names.setdefault((path_of[e.up.number], e.label), len(names) + 1)
+    seen: dict[int, list[float]] = {}
+    for text, b in zip(texts, blocks, strict=True):
+        x = seen.setdefault(path_of[b.at.number], [0, 0, 0, 0])
         for k, v in enumerate((len(text), len(_marks(text)), 1, min(b.linked, len(text)))):
             x[k] += v
-    names = list(seen)
-    text_ratio = [seen[p][0] / seen[p][2] for p in names]
-    mark_ratio = [(seen[p][1] + 0.5) / seen[p][2] for p in names]
+    paths = list(seen)
+    text_ratio = [seen[p][0] / seen[p][2] for p in paths]
+    mark_ratio = [(seen[p][1] + 0.5) / seen[p][2] for p in paths]
 
     def smooth(x: list[float]) -> list[float]:
         return [(x[max(k - 1, 0)] + 2 * v + x[min(k + 1, len(x) - 1)]) / 4 for k, v in enumerate(x)]
 
-    fused = [a * b * (1 - seen[p][3] / max(seen[p][0], 1)) for a, b, p in zip(smooth(text_ratio), smooth(mark_ratio), names, strict=True)]
-    total = sum(seen[p][0] for p in names)
-    mean = sum(f * seen[p][0] for f, p in zip(fused, names, strict=True)) / total
-    chosen = {p for f, p in zip(fused, names, strict=True) if f >= threshold * mean}
-    # The deepest element that holds most of the text of content paths.
-    weight: dict[int, int] = {}
-    everything = 0
-    for path, text, up in zip(paths, texts, lines, strict=True):
-        if path in chosen:
-            everything += len(text)
-            for e in up:
-                weight[e.number] = weight.get(e.number, 0) + len(text)
-    best = blocks[0].at
-    depth = -1
-    for up in lines:
-        for k, e in enumerate(reversed(up)):
-            if k > depth and weight.get(e.number, 0) >= cover * everything:
-                best, depth = e, k
-    marked = [e for e in _up(best) if e.name in ("article", "main")]
-    if marked:
-        best = marked[0]
+    fused = [a * b * (1 - seen[p][3] / max(seen[p][0], 1)) for a, b, p in zip(smooth(text_ratio), smooth(mark_ratio), paths, strict=True)]
+    mean = sum(f * seen[p][0] for f, p in zip(fused, paths, strict=True)) / max(sum(seen[p][0] for p in paths), 1)
+    chosen = {p for f, p in zip(fused, paths, strict=True) if f >= threshold * mean}
+    weight = [0] * len(elements)
+    for text, b in zip(texts, blocks, strict=True):
+        if path_of[b.at.number] in chosen:
+            weight[b.at.number] += len(text)
+    for e in reversed(elements[1:]):
+        weight[e.up.number] += weight[e.number]
+    # The deepest element that holds most of the text of content paths; of children, at most one can.
+    best = elements[0]
+    for e in elements[1:]:
+        if e.up is best and weight[e.number] >= cover * weight[0]:
+            best = e
+    if best.article:
+        while best.name not in ("article", "main"):
+            best = best.up
     else:
         # An article beside stray text outside it.
-        articles = {e.number: e for up in lines for e in up if e.name in ("article", "main")}
-        if articles and (most := max(articles.values(), key=lambda e: weight.get(e.number, 0))) and 2 * weight.get(most.number, 0) >= everything:
+        most = max((e for e in elements if e.name in ("article", "main")), key=lambda e: weight[e.number], default=None)
+        if most is not None and 2 * weight[most.number] >= weight[0]:
             best = most
-    return " ".join(t for t, up in zip(texts, lines, strict=True) if best in up)
+    inside = [False] * len(elements)
+    for e in elements:
+        inside[e.number] = e is best or e.up is not None and inside[e.up.number]
+    return " ".join(t for t, b in zip(texts, blocks, strict=True) if inside[b.at.number])
 
 
 def main_text(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:
