@@ -80,3 +80,41 @@ def template(pattern: str, values: dict[str, Column]) -> Column:
         name = piece[2:-1] if piece.startswith("${") else None
         parts.append(F.coalesce(values[name].cast("string"), F.lit("")) if name in values else F.lit(piece))
     return F.concat(*parts)
+
+
+#: Forms in which datetimes are read, tried in this order.
+DATETIME_FORMS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd")
+
+
+def parse_datetime(text: Column) -> Column:
+    """The first form that fits; null if none does."""
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in DATETIME_FORMS])
+
+
+def datetime_text(x: Column) -> Column:
+    """A date and time as a log of changes has it: the date alone at midnight."""
+    from changeflow.functions.display import fraction
+
+    time = F.concat(F.date_format(x, "HH:mm:ss"), fraction(x))
+    return F.when(time == "00:00:00", F.date_format(x, "yyyy-MM-dd")).otherwise(F.concat_ws(" ", F.date_format(x, "yyyy-MM-dd"), time))
+
+
+def zone(name: str | None) -> str:
+    """A configured server zone as Spark's: UTC, +-HH[:MM], a region; the session's machine zone for what is none."""
+    import datetime
+    import zoneinfo
+
+    text = (name or "").strip()
+    if text.upper() in ("UTC", "Z", "GMT"):
+        return "UTC"
+    if m := re.fullmatch(r"([+-])(\d{1,2})(?::?(\d{2}))?", text):
+        return f"{m[1]}{int(m[2]):02d}:{m[3] or '00'}"
+    try:
+        return zoneinfo.ZoneInfo(text).key if text else _local(datetime)
+    except (zoneinfo.ZoneInfoNotFoundError, ValueError):
+        return _local(datetime)
+
+
+def _local(datetime) -> str:
+    off = datetime.datetime.now().astimezone().strftime("%z")
+    return f"{off[:3]}:{off[3:]}"

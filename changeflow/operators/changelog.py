@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from changeflow.model import AFTER, BEFORE, DELETE, INSERT, data_columns
 
@@ -87,7 +88,7 @@ def bulk_lines(changes: DataFrame, keys: list[str], index: str, enable_delete: b
 
     names = data_columns(changes)
     values = {f"f{i}": F.col(f"`{n}`") for i, n in enumerate(names)} | {"table_name": F.element_at(F.split("_origin", r"\."), -1)}
-    quoted = lambda x: json_value(x, __import__("pyspark.sql.types").sql.types.StringType())
+    quoted = lambda x: json_value(x, StringType())
     doc = json_object({n: json_value(F.col(f"`{n}`"), changes.schema[n].dataType, "0x") for n in names})
     at = {"_index": quoted(template(index, values))}
     ident = document_id(changes, keys, delimiter)
@@ -119,3 +120,21 @@ def redis_commands(changes: DataFrame, data_type: str = "string", key: str = "${
         (template(field, values) if data_type == "hash" else F.lit(None).cast("string")).alias("field"),
         (template(value, values) if value else whole).alias("value"),
     )
+
+
+def json_each_row(changes: DataFrame) -> DataFrame:
+    """`_seq` and `line`: rows that a column store takes, named objects; deletes and before images are skipped.
+
+    Bytes are hex, decimals text, times `yyyy-MM-dd HH:mm:ss` (with milliseconds where a zone is known)."""
+    from pyspark.sql import types as T
+
+    from changeflow.functions.display import json_object, json_value
+
+    def shown(name: str) -> Column:
+        x, kind = F.col(f"`{name}`"), changes.schema[name].dataType
+        if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            x, kind = F.date_format(x, "yyyy-MM-dd HH:mm:ss.SSS" if isinstance(kind, T.TimestampType) else "yyyy-MM-dd HH:mm:ss"), T.StringType()
+        return json_value(x, kind, "hex")
+
+    line = json_object({n: shown(n) for n in data_columns(changes)})
+    return changes.filter(F.col("_kind").isin(INSERT, AFTER)).select("_seq", line.alias("line"))

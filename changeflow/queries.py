@@ -450,6 +450,49 @@ def _(s, d):
     return e.select("event_id", tso.alias("tso"), scalars.millis_of_tso(tso).alias("back"), key.alias("ordered"), scalars.from_ordered_key(key).alias("restored"))
 
 
+@query("json_each_row", f"""WITH {CHANGES} SELECT _seq, {_TYPED_ROW} AS line FROM c WHERE _kind IN ('INSERT', 'UPDATE_AFTER')""")
+def _(s, d):
+    return changelog.json_each_row(changes(s, d))
+
+
+@query("datetime_text", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS at, strftime(o_orderdate + INTERVAL 3723 SECOND, '%Y-%m-%d %H:%M:%S') AS later FROM orders")
+def _(s, d):
+    o = table(s, d, "orders")
+    day = F.date_trunc("day", F.col("o_orderdate"))
+    return o.select("o_orderkey", scalars.datetime_text(day).alias("at"), scalars.datetime_text(day + F.expr("INTERVAL 3723 SECOND")).alias("later"))
+
+
+@query("parse_datetime", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 THEN epoch_ms(o_orderdate) END AS ms FROM orders")
+def _(s, d):
+    o = table(s, d, "orders")
+    k, day = F.col("o_orderkey") % 4, F.date_format("o_orderdate", "yyyy-MM-dd")
+    text = F.when(k == 0, day).when(k == 1, F.concat(day, F.lit("T00:00:00.000"))).when(k == 2, F.concat(day, F.lit(" 00:00:00"))).otherwise("not a time")
+    return o.select("o_orderkey", F.unix_millis(scalars.parse_datetime(text)).alias("ms"))
+
+
+@query("percent_encode", "SELECT event_id, '%7B%22k%22%3A%20' || regexp_extract(props, '[0-9]+') || '%7D%20~%2F%2A%2B' AS encoded FROM events")
+def _(s, d):
+    return table(s, d, "events").select("event_id", scalars.percent_encode(F.concat("props", F.lit(" ~/*+"))).alias("encoded"))
+
+
+@query("key_value_rows", """SELECT list_value('k' || event_id, event_type) AS fields, 'INSERT' AS _kind FROM events WHERE event_id % 3 = 0
+  UNION ALL SELECT list_value('k' || event_id, f, v), 'INSERT' FROM (SELECT event_id, unnest(['a', 'b']) AS f, unnest([event_type, 'x']) AS v FROM events WHERE event_id % 3 = 1)
+  UNION ALL SELECT list_value('k' || event_id, v), 'INSERT' FROM (SELECT event_id, unnest([event_type, 'a']) AS v FROM events WHERE event_id % 3 = 2)""")
+def _(s, d):
+    e, k = table(s, d, "events"), F.col("event_id") % 3
+    made = e.select(
+        F.concat(F.lit("k"), "event_id").alias("key"), F.element_at(F.array(F.lit("string"), F.lit("hash"), F.lit("set")), (k + 1).cast("int")).alias("type"), F.col("event_type").alias("text"),
+        F.create_map(F.lit("b"), F.lit("x"), F.lit("a"), F.col("event_type")).alias("map"), F.array("event_type", F.lit("a")).alias("items"), F.create_map(F.lit("m"), F.lit(1.0)).alias("scores"),
+    )
+    return cdc.key_value_rows(made)
+
+
+@query("search_rows", "SELECT list_value('id-' || event_id, event_type, CAST(event_id AS VARCHAR)) AS fields, 'INSERT' AS _kind FROM events")
+def _(s, d):
+    e = table(s, d, "events")
+    return cdc.search_rows(e.select(F.concat(F.lit("id-"), "event_id").alias("_id"), F.to_json(F.struct(F.col("event_id").alias("z"), F.col("event_type").alias("a"))).alias("_source")))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A job in small: messages are decoded, filtered, applied to a table and routed."""
     message = _json(op=_op("c", "u", "d"), after=_ROW(), before=_ROW())

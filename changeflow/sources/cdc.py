@@ -66,7 +66,7 @@ def read_messages(df: DataFrame, column: str, spec: TableSpec | None, fmt: str =
     return positional(df, column) if fmt.lower() != "text" else df.select(F.col(column).cast("string").alias("f0"), F.lit(INSERT).alias("_kind"))
 
 
-def positional(df: DataFrame, column: str) -> DataFrame:
+def positional(df: DataFrame, column: str, keep: tuple[str, ...] = ("_origin", "_seq")) -> DataFrame:
     """`fields`: an array of variant texts: an object's values in order of its keys, an array's elements, or the whole text."""
     v = F.try_parse_json(F.col(column).cast("string"))
     kind = F.schema_of_variant(v)
@@ -74,7 +74,7 @@ def positional(df: DataFrame, column: str) -> DataFrame:
     values = F.transform(pairs, lambda e: e["value"])
     items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.try_variant_get(x, "$", "string"))
     fields = F.when(F.startswith(kind, F.lit("OBJECT")), values).when(F.startswith(kind, F.lit("ARRAY")), items).otherwise(F.array(F.col(column).cast("string")))
-    return df.select(fields.alias("fields"), F.lit(INSERT).alias("_kind"), *[c for c in ("_origin", "_seq") if c in df.columns])
+    return df.select(fields.alias("fields"), F.lit(INSERT).alias("_kind"), *[c for c in keep if c in df.columns])
 
 
 def drill(df: DataFrame, column: str, path: str = "") -> DataFrame:
@@ -85,3 +85,21 @@ def drill(df: DataFrame, column: str, path: str = "") -> DataFrame:
     each = F.when(F.startswith(kind, F.lit("ARRAY")), F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(v))
     texts = df.select(F.explode(each).alias("v")).select(F.when(F.rlike(F.schema_of_variant("v"), F.lit("^(?:OBJECT|ARRAY)")), F.to_json("v")).otherwise(F.try_variant_get("v", "$", "string")).alias("body"))
     return positional(texts, "body")
+
+
+def key_value_rows(df: DataFrame) -> DataFrame:
+    """A key-value store's keys as rows of `fields`. df: key, type and value, which is a string, a map (hash), an array
+    (list, set) or a map of scores (zset) in the columns text, map, items, scores. Hashes and sets go in order."""
+    one = F.array(F.array("key", "text"))
+    pairs = F.transform(F.array_sort(F.map_entries("map")), lambda e: F.array(F.col("key"), e["key"], e["value"]))
+    listed = F.transform("items", lambda v: F.array(F.col("key"), v))
+    members = F.transform(F.array_sort("items"), lambda v: F.array(F.col("key"), v))
+    scored = F.transform(F.array_sort(F.map_entries("scores")), lambda e: F.array(F.col("key"), e["key"], e["value"].cast("string")))
+    rows = F.when(F.col("type") == "string", one).when(F.col("type") == "hash", pairs).when(F.col("type") == "list", listed).when(F.col("type") == "set", members).when(F.col("type") == "zset", scored)
+    return df.select(F.explode(rows).alias("fields"), F.lit(INSERT).alias("_kind"))
+
+
+def search_rows(df: DataFrame, ident: str = "_id", source: str = "_source") -> DataFrame:
+    """A search index's hits as rows of `fields`: the id, then the document's values in order of their names."""
+    got = positional(df.withColumn("_hit", F.col(ident)).select("_hit", F.col(source).alias("_doc")), "_doc", keep=("_hit",))
+    return got.select(F.concat(F.array("_hit"), "fields").alias("fields"), "_kind")

@@ -210,3 +210,32 @@ def test_empty_frames(spark):
     assert routing.fan_out_topics(empty, "t").count() == 0
     with pytest.raises(Exception, match="needs database and table"):
         routing.fan_out_topics(as_changes(spark.range(1).select(F.col("id").alias("a"))), "${table}").collect()
+
+
+def test_matching_stream(spark, tmp_path):
+    pre = [(k, k * 10, f"2024-01-01 00:00:{k:02d}", f"v{k}") for k in range(10)]
+    com = [(k, k * 10, k * 10 + 5, f"2024-01-01 00:00:{k + 20:02d}") for k in range(0, 10, 2)]
+    ts = F.col("ts").cast("timestamp")
+    spark.createDataFrame(pre, "handle long, start_ts long, ts string, value string").withColumn("ts", ts).write.parquet(f"{tmp_path}/p")
+    spark.createDataFrame(com, "handle long, start_ts long, commit_ts long, ts string").withColumn("ts", ts).write.parquet(f"{tmp_path}/c")
+    p = spark.readStream.schema("handle long, start_ts long, ts timestamp, value string").parquet(f"{tmp_path}/p")
+    c = spark.readStream.schema("handle long, start_ts long, commit_ts long, ts timestamp").parquet(f"{tmp_path}/c")
+    q = stateful.match_stream(p, c).writeStream.format("memory").queryName("matched").option("checkpointLocation", f"{tmp_path}/k").start()
+    try:
+        for _ in range(60):
+            if spark.table("matched").count() >= 5:
+                break
+            q.awaitTermination(1)
+    finally:
+        q.stop()
+    assert sorted((r.handle, r.commit_ts, r.value) for r in spark.table("matched").collect()) == [(k, k * 10 + 5, f"v{k}") for k in range(0, 10, 2)]
+
+
+def test_metrics_and_splits(spark):
+    from changeflow.operators import metrics, splits
+
+    df = spark.createDataFrame([([1.0, 2.0, 3.0],), ([],)], "xs array<double>")
+    a, b = (r[0] for r in df.select(metrics.ema(F.col("xs"), 0.5)).collect())
+    assert a == 2.25 and b is None
+    assert splits.ranges(1, 10, 3) == [splits.Range(1, 5, 0), splits.Range(5, 9, 1), splits.Range(9, 11, 2)]
+    assert splits.ranges(None, None, 3) == [] and len(splits.snapshot_ranges(1, 20_000, 1)) == 3

@@ -80,3 +80,10 @@ def test_parse_alter():
 def test_names_and_flat_configs():
     assert camel_case("l_class_student") == "lClassStudent"
     assert flatten_config({"a": {"b": 1, "c": [1, "x"]}, "d": [{"e": 1}], "f": True, "g": None}) == {"a.b": "1", "a.c": "1,x", "d": '[{"e":1}]', "f": "true", "g": ""}
+
+
+def test_zones():
+    from changeflow.functions.scalars import zone
+
+    assert zone("utc") == "UTC" and zone("+8") == "+08:00" and zone("-0530") == "-05:30" and zone("Asia/Shanghai") == "Asia/Shanghai"
+    assert zone("no/where") == zone("") and zone(None)[0] in "+-"
