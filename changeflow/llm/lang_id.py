@@ -7,7 +7,9 @@ uniform. A text's score is the exact length of its code under each language; the
 
 Because statistics are frozen, the code length of a byte is a function of the three bytes before it. It is tabulated once
 for each context of the tree, for all languages side by side, and texts are scored by table look-ups in numpy. Bytes
-beyond the most common 127 share one symbol and are told apart by 8 further bits, in all languages alike.
+beyond the most common 127 share one symbol and are told apart by 8 further bits, in all languages alike. The tables take
+512 bytes for each context seen in the sample and language, in the driver and in each worker: tens of MB for a few
+languages; for very many, the sample or the order must be smaller.
 
 Defined results: `und` with score 0 for a null text, one without letters, or if nothing was learned; a tie goes to the
 first language by name; repeated rows and an empty table need nothing special; other columns are not read.
@@ -186,7 +188,7 @@ def _scorer(shared):
 
 
 def held_out(key: Column) -> Column:
-    """Whether a document is kept from the fit: crc32 of its id as text, modulo 5, is 0."""
-    return F.crc32(key.cast("string").cast("binary")) % 5 == 0
+    """Whether a document is kept from the fit: crc32 of its id as text, modulo 5, is 0; never for a null id."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 

@@ -26,7 +26,7 @@ def _sha(text) -> F.Column:
 def language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = lang_id.held_out(F.col("doc_id"))
-    model = lang_id.fit(docs.filter(~held | F.col("doc_id").isNull()))
+    model = lang_id.fit(docs.filter(~held))
     got = lang_id.predict(docs.select("doc_id", "text"), model)
     return got.select("doc_id", held.alias("held_out"), "lang_pred", "score", "bits_per_byte")
 

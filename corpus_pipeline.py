@@ -34,7 +34,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document occurs as often as the mix takes it."""
+    """Each document occurs as often as the mix takes it; rows with one id and source, as often as the most taken of them."""
     taken = mixing.mix(docs).filter("copies > 0").select(F.col("doc_id").alias("_id"), "size", F.col("source").alias("_source"), "copies")
     taken = taken.groupBy("_id", "size", "_source").agg(F.max("copies").alias("copies")).hint("shuffle_hash")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
