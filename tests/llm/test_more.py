@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import SF, prose
+from edge import SF, prose
 from pyspark.sql import functions as F
 
 import corpus_pipeline

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from brute import counts, digest, near, personal, secret, shares
-from conftest import SF, edge_rows, prose
+from edge import SF, edge_rows, prose
 from oracle import connection, same
 from pyspark.sql import functions as F
 
