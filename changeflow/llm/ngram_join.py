@@ -263,7 +263,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     judged = signed.select("row", "key", "hash", "set").join(kept, "set", "left")
     judged = save(judged.select("row", "key", "hash", F.coalesce("class", "row").alias("class"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")), "judged")
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row"))
-    ids = judged.groupBy("class").agg(first.alias("first"), F.count("*").alias("n_class"))
+    # Written, so that the join deals both sides anew and a class of very many members can be split.
+    ids = save(judged.groupBy("class").agg(first.alias("first"), F.count("*").alias("n_class")), "class-ids")
     out = judged.join(ids, "class")
     stays = F.col("row") == F.col("first.row")
     return out.select(F.col("key").alias(key), F.col("first.key").alias("class_id"), "n_links", "n_class", stays.alias("stays"), "hash")
