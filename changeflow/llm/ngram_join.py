@@ -181,11 +181,11 @@ def _verify(rows: pd.DataFrame) -> pd.DataFrame:
         row, copies, side = own["row"].to_numpy(), own["copies"].to_numpy(), own["side"].to_numpy()
         links, forest = np.zeros(len(own), np.int64), Forest(len(own))
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if own["pair"].iloc[0] and not (len(a) and len(b)):
+            continue  # a block of the pair is empty
         same = not len(b)
         if same:
             b = a
-        if own["pair"].iloc[0] and same:
-            continue  # the other block of the pair is empty
         for i, js in linked_pairs(sigs[a], [sets[k] for k in a], sigs[b], [sets[k] for k in b], same):
             k, others = a[i], b[js]
             links[k] += copies[others].sum()
