@@ -18,9 +18,9 @@ from changeflow.operators.routing import console_lines, messages, payload
 from changeflow.schema.dialects import Dialect
 
 
-def console(df: DataFrame, prefix: str = "[console] ", most: int = 1000) -> None:
-    """Prints rows; at most so many, as the driver prints them."""
-    for row in console_lines(df, prefix).limit(most).collect():
+def console(df: DataFrame, prefix: str = "[console] ") -> None:
+    """Prints every row; the driver holds one partition's lines at a time."""
+    for row in console_lines(df, prefix).toLocalIterator():
         print(row["line"])
 
 
