@@ -14,7 +14,7 @@ whole source.
 
 Defined results: a null or empty text has size 0 and is never copied; null is a source of its own, the last; repeated rows
 are rows of their own, whose order among equals is arbitrary but whose number of copies is the same on a rerun for rows
-with distinct ids; an empty table gives no rows. Other columns are carried along (reserved: names that begin with `_`).
+with distinct ids; an empty table gives no rows. Other columns are left out, but for those named in carry.
 """
 
 from __future__ import annotations
@@ -86,10 +86,10 @@ def _ranked(rows: DataFrame, by: list[str], key: str, rank: str) -> DataFrame:
     return out.withColumn(rank, F.col("_ahead") + inner).drop("_ahead", "_bucket", "__bucket", *[f"_{c}" for c in by])
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row per row of docs: key, size, source, source_size, target, rate, copies (0 to 3)."""
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: key, size, source, source_size, target, rate, copies (0 to 3), and the columns in carry."""
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
-    sized = save(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), words.alias("size")), "sizes")
+    sized = save(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), words.alias("size"), *carry), "sizes")
     # Documents are counted by (source, size) once; all that follows but the ranks is on those counts.
     counts = save(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "size-counts")
     sums = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"))
@@ -123,5 +123,5 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     copies = low + F.when(F.col("rank") < F.col("given") - low * F.col("n"), 1).otherwise(0)
     copies = F.when(F.col("size") == 0, 0).otherwise(copies).cast("bigint")
     return chosen.select(
-        F.col("key").alias(key), "size", F.col("source").alias(source), F.col("words").alias("source_size"), "target", "rate", copies.alias("copies")
+        F.col("key").alias(key), "size", F.col("source").alias(source), F.col("words").alias("source_size"), "target", "rate", copies.alias("copies"), *carry
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changeflow.llm import mixing, ngram_join, packing, quality, secrets
-from changeflow.llm.common import scratch_path, table
+from changeflow.llm.common import save, scratch_path, table
 from changeflow.llm.queries import tokenizer
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -34,11 +34,11 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document occurs as often as the mix takes it; rows with one id and source, as often as the most taken of them."""
-    taken = mixing.mix(docs).filter("copies > 0").select(F.col("doc_id").alias("_id"), "size", F.col("source").alias("_source"), "copies")
-    taken = taken.groupBy("_id", "size", "_source").agg(F.max("copies").alias("copies")).hint("shuffle_hash")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-    return docs.select(*COLUMNS).join(taken, same).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    """Each row occurs as often as the mix takes it, whatever its id."""
+    # Numbers of rows only hold once they are written: ids may repeat or be null.
+    rows = save(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("mix_row")), "mix-rows")
+    taken = mixing.mix(rows, carry=("mix_row",)).filter("copies > 0").select("mix_row", "copies").hint("shuffle_hash")
+    return rows.join(taken, "mix_row").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
