@@ -58,6 +58,14 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 
+# To the END line of the same label, if no other dashed line comes first; or over what looks like lines of base64.
+_SEALED = r"(?:\s*+(?:Proc-Type|DEK-Info):\s*+\S++)*+"
+_LINES = r"(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{24,}+={0,2})++"
+_LAST = r"(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{1,23}+={1,2}|\r?\n[\x20\t]*+[A-Za-z0-9+/]{1,23}+(?=[\x20\t]*+(?:[\r\n]|\z)))?+"
+PEM = rf"-----BEGIN ([A-Z ]{{0,40}}PRIVATE KEY)-----(?:(?:[^-]++|-(?!----))*+-----END \1-----|{_SEALED}{_LINES}{_LAST})?+"
+#: For redaction: a private key with its body. The SQL of scans knows the BEGIN line alone.
+WHOLE_RULES = tuple(Rule("pem", PEM, hint="-----BEGIN ", version=2) if r.kind == "pem" else r for r in RULES)
+
 _FOUND = "array<struct<s:bigint,k:int,e:bigint,kind:string,m:string>>"
 
 

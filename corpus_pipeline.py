@@ -27,8 +27,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Found secrets are blotted out; n_chars follows."""
-    clean = secrets.redact(secrets.scan(docs.select(*COLUMNS)))
+    """Found secrets are blotted out, private keys with their bodies; n_chars follows."""
+    clean = secrets.redact(secrets.scan(docs.select(*COLUMNS), rules=secrets.WHOLE_RULES))
     n_chars = F.when(F.size("_spans") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
     return clean.withColumn("n_chars", n_chars).select(*COLUMNS)
 
