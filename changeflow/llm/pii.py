@@ -28,9 +28,9 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _IP_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-#: A token with a digit or an at sign, and how much text before it is looked at for its context.
+#: A token with a digit or an at sign, and how much text before it is looked at for its context: more, if that has no whole word.
 MENTION = r"(?<![^\s])[^\s0-9@]*+[0-9@][^\s]*+"
-CONTEXT = 64
+CONTEXT = (64, 4096)
 
 
 def _digits(m: Column) -> Column:
@@ -78,13 +78,17 @@ def _mentions(text: Column, base: Column) -> Column:
     """Mentions with the word before each, and the kind of the first base span that overlaps."""
 
     def one(x: Column, left: Column) -> Column:
-        word = F.lower(F.regexp_replace(F.substring_index(F.rtrim(F.translate(left, "\n\r\t", "   ")), " ", -1), r"[^\p{L}]", ""))
+        word = F.lower(F.regexp_replace(F.substring_index(left, " ", -1), r"[^\p{L}]", ""))
         over = F.filter(base, lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"]))
         return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), word.alias("word"), F.try_element_at(over, F.lit(1))["kind"].alias("kind"))
 
-    def left(x: Column) -> Column:
-        begin = F.greatest(x["s"] - CONTEXT, F.lit(0))
-        return F.substring(text, (begin + 1).cast("int"), (x["s"] - begin).cast("int"))
+    def left(x: Column, reaches: tuple[int, ...] = CONTEXT) -> Column:
+        begin = F.greatest(x["s"] - reaches[0], F.lit(0)) if reaches else F.lit(0)
+        before = F.rtrim(F.translate(F.substring(text, (begin + 1).cast("int"), (x["s"] - begin).cast("int")), "\n\r\t\x0b\f", "     "))
+        if not reaches:
+            return before
+        # A blank before the last word says that the word is whole.
+        return let(before, lambda b: F.when((begin == 0) | F.contains(b, F.lit(" ")), b).otherwise(left(x, reaches[1:])))
 
     found = match_spans(text, MENTION, lambda m: F.lit(True))
     return F.when(F.rlike(text, F.lit("[0-9@]")), F.transform(found, lambda x: one(x, left(x))))
