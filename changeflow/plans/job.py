@@ -13,6 +13,7 @@ from changeflow.operators.filters import filter_by_index
 from changeflow.plans.config import ConfigError, JobSpec, Pipeline, Plugin
 from changeflow.sinks import external, tables
 from changeflow.sources import connect, fake
+from changeflow.sources import http as http_source
 from changeflow.streaming import fanout
 
 
@@ -25,10 +26,15 @@ def _external(build: Callable) -> Callable:
     return lambda spark, o: as_changes(build(o).load(spark))
 
 
+def _http(spark: SparkSession, o: dict) -> DataFrame:
+    spark.dataSource.register(http_source.HttpSource)
+    return _external(connect.http)(spark, o)
+
+
 SOURCES: dict[str, Callable[[SparkSession, dict], DataFrame]] = {
     "fakesource": lambda spark, o: fake.rows(spark, int(o.get("row.num", 10))), "fake": lambda spark, o: fake.rows(spark, int(o.get("row.num", 10))),
     "files": _files, "parquet": _files, "jdbc": _external(connect.jdbc), "kafka": _external(lambda o: connect.kafka(o, streaming=False)), "clickhouse": _external(connect.clickhouse),
-    "elasticsearch": _external(connect.elasticsearch), "redis": _external(connect.redis), "http": _external(connect.http), "rabbitmq": _external(connect.rabbitmq),
+    "elasticsearch": _external(connect.elasticsearch), "redis": _external(connect.redis), "http": _http, "rabbitmq": _external(connect.rabbitmq),
 }
 
 
