@@ -1,11 +1,17 @@
 """Main text of web pages by tag-path ratios.
 
-A tolerant scanner turns a page into blocks: runs of text with their path of block elements from the root. Per path, text
-and punctuation are summed over its blocks and divided by their number, which gives two ratios; both are smoothed over
-the neighbouring paths in page order, multiplied (less the share of text in links) and held against a threshold. The
-element that encloses the text of the paths above it, or its nearest article or main element, is the content; its
-blocks are kept whatever their own length, except those in elements that say by name, role or class that they are menus,
-notices, adverts, forms, comments or the like.
+A tolerant scanner turns a page into pieces of text, each with its path of elements from the root (tag and class words).
+Per path, text length and punctuation are summed over its blocks and divided by their number: two ratios. Each is smoothed
+along the paths: half is the path's own, a quarter its region's, a quarter that of all in and around the region (means of
+paths, weighted by text). A region is the path up to its last sectioning element (div, section, article, ...); lists, tables and paragraphs are no
+regions of their own, so that a short item of an article is judged with the article. The region of a heading is the nearest
+that holds other text too. The two ratios are fused (their geometric mean, less the share of text in links) and weighed by
+what an element says about itself: menus, adverts, notices and forms count a tenth, reader comments a hundredth, text
+beside an article or main element half. Paths that reach `threshold` of the mean (weighted by text) are content, and every
+piece on them is kept, wherever it stands; nothing else is.
+
+Weights only compare: a page that is all notice or all form keeps its text. Only what is no text of the page at all goes
+unjudged: scripts, styles, controls, hidden elements, and elements or roles for navigation, headers, footers and asides.
 
 Each page is one row in and one row out, without a shuffle; time and memory are linear in its length. Defined results: null
 and empty pages, and pages without visible text, give an empty string; repeated rows are extracted alike; an empty table
@@ -17,6 +23,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 from html import unescape
+from math import sqrt
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,194 +36,214 @@ from changeflow.llm.common import arrow_batches
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr output q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp noframes iframe noembed".split())
-OUTSIDE = set("head nav footer aside form script style textarea title noscript template svg math object iframe button select option datalist dialog menu audio video canvas xmp noframes noembed".split())
-ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
+OUTSIDE = set("head nav footer aside script style textarea title noscript template svg math object iframe button select option datalist label legend dialog menu audio video canvas xmp noframes noembed".split())
+ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar tablist".split())
 NAMES = set(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login comment comments commentlist respond disqus replies social share sharing related recommended recommendations search widget widgets toolbar pagination pager legal copyright alert".split()
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended recommendations search widget widgets toolbar pagination pager legal copyright alert".split()
 )
+COMMENTS = set("comment comments commentlist respond disqus replies".split())
 OWN = set("article post entry content main story body text".split())
+#: Elements that begin a region; headings.
+REGIONS = set("html body main article section div form header center fieldset details".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
     "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "thead", "tbody"},
 }
 #: Elements beyond which an implied end doesn't reach.
 SCOPES = set("ul ol dl table div section article main body html td th blockquote".split())
+#: Weights of elements by what they say about themselves, and of what stands beside an article.
+NAMED, COMMENT, BESIDE = 0.1, 0.01, 0.5
+THRESHOLD = 0.3
 
 _token = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+(?:>|\Z))""", re.S
 )
-_attribute = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?(?=[\s/>])""", re.I)
+_attribute = re.compile(r"""(?<![^\s"'/])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?(?=[\s/>])""", re.I)
 _parts = re.compile(r"[A-Z]?[a-z]+|[A-Z]+").findall
 _marks = re.compile(r"[.,;:!?…。，！？]").findall
 
 
 @dataclass(eq=False)
 class Element:
-    """outside: holds no main text. article: is or is in an article or main element. number: in page order."""
+    """path: its number among paths. weight: what it and those around it say about themselves. outside: never content."""
 
     name: str
-    label: str
     inline: bool
     outside: bool
-    up: Element | None
-    number: int
-    article: bool = False
+    weight: float
+    path: int
+    article: bool
 
 
 @dataclass
 class Block:
-    at: Element
-    pieces: list[str] = field(default_factory=list)
-    linked: int = 0
+    """Pieces of text without a break, each with its path and whether it is in a link."""
 
-    @property
-    def text(self) -> str:
-        return " ".join("".join(self.pieces).split())
+    pieces: list[tuple[str, int, bool]] = field(default_factory=list)
 
 
-def _outside(name: str, rest: str, up: Element) -> tuple[bool, str]:
-    """Whether an element holds no main text, and its label in paths."""
-    if name in OUTSIDE:
-        return True, name
+def says(name: str, rest: str, in_article: bool) -> tuple[bool, float, str]:
+    """Whether an element is outside, its weight, and its label in paths."""
     got = {k.lower(): v.strip("\"'") for k, v in _attribute.findall(rest)} if len(rest) > 1 else {}
     own = {p.lower() for k in ("class", "id") for p in _parts(got.get(k, ""))}
     label = f"{name}.{'.'.join(sorted(own))}" if own else name
-    if name == "header" and not up.article or got.get("role", "").lower() in ROLES:
-        return True, label
-    hidden = "hidden" in got or got.get("aria-hidden") == "true" or "display:none" in got.get("style", "").replace(" ", "").lower()
-    named = name not in ("html", "body", "main") and own & NAMES and not (own & OWN and not own & {"comment", "comments", "ad", "ads"})
-    return bool(hidden or named), label
-
-
-def blocks_of(html: str) -> tuple[list[Block], list[Element]]:
-    """Blocks with text and block elements, in page order."""
-    root = Element("", "", False, False, None, 0)
-    stack, out, elements, at = [root], [Block(root)], [root], 0
-    links = 0
-
-    def add(raw: str) -> None:
-        if raw and not stack[-1].outside:
-            out[-1].pieces.append(raw)
-            if links:
-                out[-1].linked += len(raw.strip())
-
-    def cut() -> None:
-        top = next(e for e in reversed(stack) if not e.inline)
-        if out[-1].pieces:
-            out.append(Block(top))
-        else:
-            out[-1] = Block(top)
-
-    def pop_to(k: int) -> None:
-        nonlocal links
-        for e in stack[k:]:
-            links -= e.name == "a"
-        del stack[k:]
-        cut()
-
-    for m in iter(lambda: _token.search(html, at), None):
-        add(unescape(html[at : m.start()]))
-        at = m.end()
-        name = (m["name"] or "").lower()
-        if not name:
-            continue
-        if m["end"]:
+    hidden = "hidden" in got or got.get("aria-hidden", "").lower() == "true" or "display:none" in got.get("style", "").replace(" ", "").lower()
+    if hidden or name in OUTSIDE or name == "header" and not in_article or got.get("role", "").lower() in ROLES:
+        return True, 1.0, label
+    if name in ("html", "body", "main"):
+        return False, 1.0, label
+    if own & COMMENTS:
+        return False, COMMENT, label
+    named = own & NAMES and not (own & OWN and not own & {"ad", "ads"})
+    return False, NAMED if named or name == "form" else 1.0, label
+
+
+class Page:
+    """The scanned page: blocks, and by path its parent, tag, weight and whether it is in an article."""
+
+    def __init__(self, html: str):
+        self.blocks, self.up, self.tag, self.weight, self.article = [Block()], [0], [""], [1.0], [False]
+        self._paths: dict[tuple[int, str], int] = {}
+        self._scan(html)
+        self.blocks = [b for b in self.blocks if "".join(p for p, _, _ in b.pieces).strip()]
+
+    def _path(self, up: int, label: str, name: str, weight: float, article: bool) -> int:
+        at = self._paths.get((up, label))
+        if at is None:
+            at = self._paths[up, label] = len(self.up)
+            self.up.append(up)
+            self.tag.append(name)
+            self.weight.append(weight)
+            self.article.append(article)
+        return at
+
+    def _scan(self, html: str) -> None:
+        stack, at, links = [Element("", False, False, 1.0, 0, False)], 0, 0
+
+        def add(raw: str) -> None:
+            if raw and not stack[-1].outside:
+                self.blocks[-1].pieces.append((raw, stack[-1].path, links > 0))
+
+        def cut() -> None:
+            if self.blocks[-1].pieces:
+                self.blocks.append(Block())
+
+        def pop_to(k: int) -> None:
+            nonlocal links
+            links -= sum(e.name == "a" for e in stack[k:])
+            del stack[k:]
+            cut()
+
+        for m in iter(lambda: _token.search(html, at), None):
+            add(unescape(html[at : m.start()]))
+            at = m.end()
+            name = (m["name"] or "").lower()
+            if not name:
+                continue
             inline = name in INLINE
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    links -= name == "a" and inline
-                    if inline:
-                        del stack[k]
-                    else:
-                        pop_to(k)
-                    break
-                if inline and not stack[k].inline:
-                    break
-            continue
-        if name in VOID:
-            if name in ("br", "hr", "wbr") and name != "wbr":
-                add(" ")
+            if m["end"]:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].name == name:
+                        if inline:
+                            links -= name == "a"
+                            del stack[k]
+                        else:
+                            pop_to(k)
+                        break
+                    if inline and not stack[k].inline:
+                        break
+                continue
+            if name in VOID:
+                if name in ("br", "hr"):
+                    add(" ")
                 if name == "hr":
                     cut()
-            continue
-        inline = name in INLINE
-        if not inline:
-            ends = CLOSES.get(name, set())
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == "p" or stack[k].name in ends:
-                    pop_to(k)
-                    if not ends:
+                continue
+            if not inline:
+                ends = CLOSES.get(name, set())
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].name == "p" or stack[k].name in ends:
+                        pop_to(k)
+                        if not ends:
+                            break
+                    elif stack[k].name in SCOPES and stack[k].name not in ends:
                         break
-                elif stack[k].name in SCOPES and stack[k].name not in ends:
-                    break
-        outside, label = (name in OUTSIDE, name) if inline else _outside(name, m["rest"], stack[-1])
-        top = next(e for e in reversed(stack) if not e.inline)
-        stack.append(Element(name, label, inline, outside or stack[-1].outside, top, len(elements), top.article or name in ("article", "main")))
-        if not inline:
-            elements.append(stack[-1])
-        if name in RAW:
-            close = re.compile(rf"</{name}", re.I).search(html, at)
-            at = close.start() if close else len(html)
-        links += name == "a"
-        if not inline:
-            cut()
-        elif m["rest"].endswith("/>"):
-            stack.pop()
-            links -= name == "a"
-    add(unescape(html[at:]))
-    return [b for b in out if not b.at.outside and "".join(b.pieces).strip()], elements
+            top = stack[-1]
+            article = top.article or name in ("article", "main")
+            outside, weight, label = says(name, m["rest"], top.article)
+            weight = min(weight, top.weight)
+            # Inline elements that say nothing about themselves are on the path of what holds them.
+            path = top.path if inline and weight == top.weight else self._path(top.path, label, name, weight, article)
+            stack.append(Element(name, inline, outside or top.outside, weight, path, article))
+            if name in RAW:
+                close = re.compile(rf"</{name}", re.I).search(html, at)
+                at = close.start() if close else len(html)
+            links += name == "a"
+            if not inline:
+                cut()
+            elif m["rest"].endswith("/>"):
+                stack.pop()
+                links -= name == "a"
+        add(unescape(html[at:]))
 
 
-def extract(html: str | None, threshold: float = 0.3, cover: float = 0.8) -> str:
-    """threshold: of the mean score of paths, weighted by text; cover: share of content text the content element holds.
+def chosen(page: Page, threshold: float = THRESHOLD) -> list[bool]:
+    """Which paths are content. Paths stand after their parents: sums go up and ratios down in one pass each."""
+    n = len(page.up)
+    own = [[0, 0, 0, 0] for _ in range(n)]  # text, marks, blocks, text in links
+    for b in page.blocks:
+        for path in {p for _, p, _ in b.pieces}:
+            text = " ".join("".join(t for t, p, _ in b.pieces if p == path).split())
+            linked = " ".join("".join(t for t, p, a in b.pieces if p == path and a).split())
+            if text:
+                for k, v in enumerate((len(text), len(_marks(text)), 1, min(len(linked), len(text)))):
+                    own[path][k] += v
+    # By path: both ratios times the text, and the text: their sums give means over paths, weighted by text.
+    ratio = [(x[0] * x[0] / x[2], x[0] * (x[1] + 0.5) / x[2], x[0]) if x[2] else (0.0, 0.0, 0) for x in own]
+    below, other = [list(x) for x in ratio], [x[0] if t not in HEADINGS else 0 for x, t in zip(own, page.tag, strict=True)]
+    for p in range(n - 1, 0, -1):
+        other[page.up[p]] += other[p]
+        for k in range(3):
+            below[page.up[p]][k] += below[p][k]
+    region = [0] * n
+    direct = [[0.0, 0.0, 0] for _ in range(n)]  # sums over the paths of a region
+    for p in range(1, n):
+        up = page.up[p]
+        region[p] = p if page.tag[p] in REGIONS else region[up]
+        if page.tag[p] in HEADINGS:
+            while region[p] and not other[region[p]]:
+                region[p] = region[page.up[region[p]]]
+    for p in range(n):
+        for k in range(3):
+            direct[region[p]][k] += ratio[p][k]
+    means = lambda x: (x[0] / x[2], x[1] / x[2]) if x[2] else (0.0, 0.0)
+    beside = any(page.article[p] and own[p][0] and page.weight[p] == 1 for p in range(n))
+    fused, weight = [0.0] * n, [0.0] * n
+    for p in range(n):
+        if not own[p][2]:
+            continue
+        r = region[p]
+        around = region[page.up[r]] if r else 0
+        text, marks = (a / 2 + b / 4 + c / 4 for a, b, c in zip(means(ratio[p]), means(direct[r]), means(below[around]), strict=True))
+        says_so = page.weight[p] * (BESIDE if beside and not page.article[p] else 1)
+        fused[p] = sqrt(text * marks) * (1 - own[p][3] / own[p][0]) * says_so
+        weight[p] = (own[p][0] - own[p][3]) * says_so
+    total = sum(weight)
+    if not total:  # nothing but links
+        return [bool(x[2]) for x in own]
+    bar = threshold * sum(f * w for f, w in zip(fused, weight, strict=True)) / total
+    return [bool(x[2]) and f >= bar for x, f in zip(own, fused, strict=True)]
+
 
-    Elements stand in page order, parents before children: sums go up and marks go down in one pass each."""
-    blocks, elements = blocks_of(html or "")
-    if not blocks:
+def extract(html: str | None, threshold: float = THRESHOLD) -> str:
+    """threshold: of the mean score of paths, weighted by text."""
+    page = Page(html or "")
+    if not page.blocks:
         return ""
-    texts = [b.text for b in blocks]
-    names: dict[tuple[int, str], int] = {}
-    path_of = [0] * len(elements)
-    for e in elements[1:]:
-        path_of[e.number] = names.setdefault((path_of[e.up.number], e.label), len(names) + 1)
-    seen: dict[int, list[float]] = {}
-    for text, b in zip(texts, blocks, strict=True):
-        x = seen.setdefault(path_of[b.at.number], [0, 0, 0, 0])
-        for k, v in enumerate((len(text), len(_marks(text)), 1, min(b.linked, len(text)))):
-            x[k] += v
-    paths = list(seen)
-    text_ratio = [seen[p][0] / seen[p][2] for p in paths]
-    mark_ratio = [(seen[p][1] + 0.5) / seen[p][2] for p in paths]
-
-    def smooth(x: list[float]) -> list[float]:
-        return [(x[max(k - 1, 0)] + 2 * v + x[min(k + 1, len(x) - 1)]) / 4 for k, v in enumerate(x)]
-
-    fused = [a * b * (1 - seen[p][3] / max(seen[p][0], 1)) for a, b, p in zip(smooth(text_ratio), smooth(mark_ratio), paths, strict=True)]
-    mean = sum(f * seen[p][0] for f, p in zip(fused, paths, strict=True)) / max(sum(seen[p][0] for p in paths), 1)
-    chosen = {p for f, p in zip(fused, paths, strict=True) if f >= threshold * mean}
-    weight = [0] * len(elements)
-    for text, b in zip(texts, blocks, strict=True):
-        if path_of[b.at.number] in chosen:
-            weight[b.at.number] += len(text)
-    for e in reversed(elements[1:]):
-        weight[e.up.number] += weight[e.number]
-    # The deepest element that holds most of the text of content paths; of children, at most one can.
-    best = elements[0]
-    for e in elements[1:]:
-        if e.up is best and weight[e.number] >= cover * weight[0]:
-            best = e
-    if best.article:
-        while best.name not in ("article", "main"):
-            best = best.up
-    else:
-        # An article beside stray text outside it.
-        most = max((e for e in elements if e.name in ("article", "main")), key=lambda e: weight[e.number], default=None)
-        if most is not None and 2 * weight[most.number] >= weight[0]:
-            best = most
-    inside = [False] * len(elements)
-    for e in elements:
-        inside[e.number] = e is best or e.up is not None and inside[e.up.number]
-    return " ".join(t for t, b in zip(texts, blocks, strict=True) if inside[b.at.number])
+    keep = chosen(page, threshold)
+    texts = (" ".join("".join(t for t, p, _ in b.pieces if keep[p]).split()) for b in page.blocks)
+    return " ".join(filter(None, texts))
 
 
 def main_text(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:
