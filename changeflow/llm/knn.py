@@ -12,7 +12,8 @@ only candidates that reach their query's kth score are returned. Nothing is appr
 
 Defined results: vectors that are null or empty or hold null or non-finite components take no part; shorter vectors count
 as padded with zeros; a row is not its own neighbour, but repeated rows are neighbours of each other; ties go to the
-smaller id; an empty table gives no rows; other columns are not read.
+smaller id; an empty table gives no rows; other columns are not read. Scores are exact 64-bit integers: products are made in
+floating point where none can reach 2**53, in integers beyond, and vectors whose scores might not fit 63 bits are an error.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ LEAF = 128
 #: Scores of a leaf pair are made in tiles of this side.
 TILE = 1024
 SHRINK = 1.3
+#: Less than any score.
+NONE = np.iinfo(np.int64).min
 
 
 def quantized(vector: Column, scale: int = 64) -> Column:
@@ -85,18 +88,18 @@ class Best:
 
     def __init__(self, queries: int, k: int, least: np.ndarray):
         self.k, self.least = k, least
-        self.scores = np.full((queries, k), -np.inf)
+        self.scores = np.full((queries, k), NONE)
         self.ids = np.full((queries, k), np.iinfo(np.int64).max)
 
-    def worst(self, points: np.ndarray) -> float:
-        return float(np.maximum(self.scores[points, -1], self.least[points]).min())
+    def worst(self, points: np.ndarray) -> int:
+        return int(np.maximum(self.scores[points, -1], self.least[points]).min())
 
     def offer(self, points: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         """ids ascend. Only what reaches a query's kth score, so far or among these scores, is sorted in."""
         floor = np.maximum(self.scores[points, -1], self.least[points])
         if scores.shape[1] > 2 * self.k:
             floor = np.maximum(floor, np.partition(scores, -self.k, 1)[:, -self.k])
-        good = (scores >= floor[:, None]) & (scores > -np.inf)
+        good = (scores >= floor[:, None]) & (scores > NONE)
         count = good.sum(1)
         rows = np.flatnonzero(count)
         if not len(rows):
@@ -104,20 +107,23 @@ class Best:
         r, c = np.nonzero(good[rows])
         at = np.arange(len(r)) - np.repeat(np.cumsum(count[rows]) - count[rows], count[rows])
         points, width = points[rows], int(count[rows].max())
-        new_scores = np.full((len(rows), width), -np.inf)
+        new_scores = np.full((len(rows), width), NONE)
         new_ids = np.full((len(rows), width), np.iinfo(np.int64).max)
         new_scores[r, at], new_ids[r, at] = scores[rows][r, c], ids[c]
         all_scores = np.concatenate([self.scores[points], new_scores], 1)
         all_ids = np.concatenate([self.ids[points], new_ids], 1)
         order = np.argsort(all_ids, 1, kind="stable")
-        order = np.take_along_axis(order, np.argsort(-np.take_along_axis(all_scores, order, 1), 1, kind="stable"), 1)[:, : self.k]
+        order = np.take_along_axis(order, np.argsort(~np.take_along_axis(all_scores, order, 1), 1, kind="stable"), 1)[:, : self.k]
         self.scores[points] = np.take_along_axis(all_scores, order, 1)
         self.ids[points] = np.take_along_axis(all_ids, order, 1)
 
 
 def dual_search(q: np.ndarray, q_rows: np.ndarray, x: np.ndarray, x_rows: np.ndarray, ids: np.ndarray, k: int, least: np.ndarray) -> Best:
     """q, x: integer vectors; rows: identities, so that no row is offered to itself; least: scores that count."""
-    exact = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1] < 2**53
+    most = int(np.abs(q).max(initial=0)) * int(np.abs(x).max(initial=0)) * q.shape[1]
+    if most >= 2**63:
+        raise ValueError("inner products of these vectors may not fit 63 bits")
+    exact = most < 2**53
     fq, fx = q.astype(np.float64), x.astype(np.float64)
     best = Best(len(q), k, least)
     a, b = cover_tree(fq), cover_tree(fx)
@@ -136,8 +142,8 @@ def dual_search(q: np.ndarray, q_rows: np.ndarray, x: np.ndarray, x_rows: np.nda
                 some = m.points[k0 : k0 + TILE]
                 for k1 in range(0, len(n.points), TILE):
                     them = n.points[k1 : k1 + TILE]
-                    scores = fq[some] @ fx[them].T if exact else (q[some] @ x[them].T).astype(np.float64)
-                    scores[q_rows[some][:, None] == x_rows[them][None]] = -np.inf
+                    scores = (fq[some] @ fx[them].T).astype(np.int64) if exact else q[some] @ x[them].T
+                    scores[q_rows[some][:, None] == x_rows[them][None]] = NONE
                     best.offer(some, scores, ids[them])
             continue
         # The wider node is split; both have bounds that only shrink.
@@ -176,12 +182,12 @@ def _searcher(k: int, width: int) -> Callable:
         out = {"query_row": [], "query_id": [], "id": [], "score": []}
         if len(left) and len(right):
             q, x = (np.frombuffer(b"".join(v), np.int64).reshape(-1, width) for v in (left["q_v"], right["x_v"]))
-            rows, ids, least = left["q_row"].to_numpy(), right["x_id"].to_numpy(), left["q_least"].to_numpy(np.float64)
+            rows, ids, least = left["q_row"].to_numpy(), right["x_id"].to_numpy(), left["q_least"].to_numpy(np.int64)
             order = np.argsort(ids, kind="stable")
             got = dual_search(q, rows, x[order], right["x_row"].to_numpy()[order], ids[order], k, least)
-            keep = np.isfinite(got.scores)
+            keep = got.scores > NONE
             which = np.nonzero(keep)[0]
-            out = {"query_row": rows[which], "query_id": left["q_id"].to_numpy()[which], "id": got.ids[keep], "score": got.scores[keep].astype(np.int64)}
+            out = {"query_row": rows[which], "query_id": left["q_id"].to_numpy()[which], "id": got.ids[keep], "score": got.scores[keep]}
         return pd.DataFrame(out).astype("int64")
 
     return search
@@ -219,11 +225,11 @@ def top_k(rows: DataFrame, vector: Column, asks: Column, key: str = "vec_id", k:
     best = Window.partitionBy("query_row").orderBy(F.desc("score"), "id")
     groups = queries.groupBy("cell", "group").agg(F.max("far").alias("qr"))
     own = groups.join(blocks.withColumnRenamed("dc", "cell"), "cell").select("cell", "group", F.col("cell").alias("dc"), "block")
-    start = queries.withColumn("least", F.lit(float("-inf")))
+    start = queries.withColumn("least", F.lit(int(NONE)).cast("bigint"))
     first = save(searched(start, own).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k), "first-round")
-    worst = first.filter(F.col("rank") == k).select(F.col("query_row").alias("row"), F.col("score").cast("double").alias("least"))
-    held = queries.join(worst, "row", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
-    bars = held.groupBy("cell", "group").agg(F.max("far").alias("qr"), F.min("least").alias("bar"))
+    worst = first.filter(F.col("rank") == k).select(F.col("query_row").alias("row"), F.col("score").alias("least"))
+    held = queries.join(worst, "row", "left").withColumn("least", F.coalesce("least", F.lit(int(NONE)).cast("bigint")))
+    bars = held.groupBy("cell", "group").agg(F.max("far").alias("qr"), F.min("least").cast("double").alias("bar"))
     centres = spark.createDataFrame([(c, d, float(pivots[c] @ pivots[d]), float(np.linalg.norm(pivots[c])), float(np.linalg.norm(pivots[d]))) for c in range(len(pivots)) for d in range(len(pivots)) if c != d] or [(0, 0, 0.0, 0.0, 0.0)], "cell long, dc long, dot double, qn double, dn double").filter("cell <> dc")
     top = F.col("dot") + F.col("qr") * F.col("dn") + F.col("dr") * F.col("qn") + F.col("qr") * F.col("dr")
     others = bars.join(centres, "cell").join(blocks, "dc").filter(top * (1 + 1e-9) + 1e-6 >= F.col("bar")).select("cell", "group", "dc", "block")
