@@ -94,7 +94,8 @@ def scan(versions: DataFrame, path: str = "doc_id", text: str = "text", ledger:
     scanned.dropDuplicates(["_blob"]).write.mode("append").parquet(ledger)
     # A rule that has changed leaves findings of its old version in the ledger: only rows of current versions count.
     now = spark.read.parquet(ledger).select("_blob", F.filter("found", _current(rules, F.col("scanned"))).alias("found")).filter(F.size("found") > 0)
-    found = now.groupBy("_blob").agg(F.flatten(F.collect_list("found")).alias("_spans")) if seen is not None else now.withColumnRenamed("found", "_spans")
+    # Distinct: a scan that was run again, or one beside this one, may have written a blob's findings twice.
+    found = now.groupBy("_blob").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("_spans"))
     return addressed.join(found, "_blob", "left").withColumn("_spans", F.coalesce("_spans", none))
 
 
