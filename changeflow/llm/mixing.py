@@ -69,6 +69,8 @@ def balance(sums: DataFrame, tolerance: float = 1e-9, most: int = 100) -> DataFr
         worst = at.agg(F.max(F.abs(words * F.exp("lambda") - target) / F.greatest(target, F.lit(1.0)))).first()[0]
         if worst is None or worst <= tolerance:
             break
+    else:
+        raise RuntimeError(f"Newton's method did not come within {tolerance} of the targets in {most} steps")
     return at.withColumn("rate", F.least(F.round(F.exp("lambda"), 9), F.lit(CAP))).drop("lambda")
 
 
