@@ -5,7 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,11 +30,14 @@ def arrow_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of this session's own where that is unset."""
+    """The folder in spark.checkpoint.dir. Where that is unset, one of this process's own if the session is local; a cluster
+    must name one that driver and executors share."""
     conf = spark.sparkContext.getConf()
     folder = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = getattr(shared_folder, "own", None)
     if folder is None:
         folder = shared_folder.own = f"file://{tempfile.mkdtemp(prefix='changeflow-')}"
@@ -47,8 +51,29 @@ def _forget(folder: str) -> None:
     shutil.rmtree(folder.removeprefix("file://"), ignore_errors=True)
 
 
+_made: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are saved within go at its end: what is made of them must have been written elsewhere by then."""
+    begin = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[begin:]:
+            drop(spark, path)
+        del _made[begin:]
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/changeflow/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_folder(spark)}/changeflow/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def save(df: DataFrame, name: str, **options: str) -> DataFrame:
