@@ -14,7 +14,8 @@ Write = Callable[[DataFrame, int], None]
 
 
 class Ledger:
-    """The last batch that a sink has taken, as a small file on any Hadoop file system; replaced by a rename."""
+    """The batches that a sink has taken, as files named by their numbers on any Hadoop file system: a batch is noted by one
+    rename to a name that wasn't there, so there is no moment without a last batch. Isolated sinks are noted likewise."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self._jvm = spark._jvm
@@ -24,23 +25,44 @@ class Ledger:
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
 
-    def last(self, sink: str) -> int:
+    def _names(self, sink: str) -> list[str]:
         at = self._path(sink)
-        if not self._fs.exists(at):
-            return -1
-        stream = self._fs.open(at)
+        return [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
+
+    def last(self, sink: str) -> int:
+        return max((int(n) for n in self._names(sink) if n.isdigit()), default=-1)
+
+    def _put(self, sink: str, name: str, text: str) -> None:
+        self._fs.mkdirs(self._path(sink))
+        draft = self._path(f"{sink}/.{name}.draft")
+        out = self._fs.create(draft, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        self._fs.rename(draft, self._path(f"{sink}/{name}"))
+
+    def note(self, sink: str, batch: int) -> None:
+        self._put(sink, str(batch), json.dumps({"batch": batch}))
+        for n in self._names(sink):
+            if n.isdigit() and int(n) < batch - 2:
+                self._fs.delete(self._path(f"{sink}/{n}"), False)
+
+    def isolate(self, sink: str, why: str, batch: int) -> None:
+        self._put(sink, "isolated", json.dumps({"batch": batch, "why": why[:2000]}))
+
+    def isolated(self, sink: str) -> str | None:
+        """Why a sink was left out, and from which batch on; null if it wasn't."""
+        if "isolated" not in self._names(sink):
+            return None
+        stream = self._fs.open(self._path(f"{sink}/isolated"))
         try:
-            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["batch"]
+            got = json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
+        return f"isolated since batch {got['batch']}: {got['why']}"
 
-    def note(self, sink: str, batch: int) -> None:
-        draft = self._path(f".{sink}.draft")
-        out = self._fs.create(draft, True)
-        out.write(bytearray(json.dumps({"batch": batch}).encode()))
-        out.close()
-        self._fs.delete(self._path(sink), False)
-        self._fs.rename(draft, self._path(sink))
+    def readmit(self, sink: str) -> None:
+        """The sink takes part again, from the next batch on; what it missed is for whoever decides this to send."""
+        self._fs.delete(self._path(f"{sink}/isolated"), False)
 
 
 class SinkFailed(RuntimeError):
@@ -55,7 +77,8 @@ class FanOut:
         if on_failure not in ("fail", "isolate"):
             raise ValueError(f"unknown on-sink-failure {on_failure!r}")
         self.sinks, self.ledger, self.on_failure = sinks, ledger, on_failure
-        self.dead: dict[str, str] = {}
+        # A sink that was left out stays out after a restart, or it would go on behind a gap.
+        self.dead: dict[str, str] = {n: why for n in sinks if ledger and (why := ledger.isolated(n))}
         self.seen: dict[str, int] = {}
 
     def _last(self, name: str) -> int:
@@ -72,6 +95,8 @@ class FanOut:
                     if self.on_failure == "fail":
                         raise SinkFailed(f"sink {name}: {e}") from e
                     self.dead[name] = str(e)
+                    if self.ledger:
+                        self.ledger.isolate(name, str(e), batch)
                 else:
                     self.seen[name] = batch
                     if self.ledger:
