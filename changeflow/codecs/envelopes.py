@@ -17,8 +17,8 @@ _MAP = "map<string,variant>"
 
 
 def _parsed(df: DataFrame, column: str) -> DataFrame:
-    """`_v`: the message; rows that aren't JSON objects go. Metadata that isn't there yet is added."""
-    got = df.withColumn("_v", F.try_parse_json(F.col(column).cast("string"))).filter(F.startswith(F.schema_of_variant("_v"), F.lit("OBJECT")))
+    """`_v`: the message. Metadata that isn't there yet is added."""
+    got = df.withColumn("_v", F.try_parse_json(F.col(column).cast("string")))
     if "_origin" not in df.columns:
         got = got.withColumn("_origin", F.lit(None).cast("string"))
     return got if "_seq" in df.columns else got.withColumn("_seq", F.monotonically_increasing_id())
@@ -43,12 +43,13 @@ def _value(image: Column, name: str, kind: str, nested: bool = True) -> Column:
 
 
 def _images(df: DataFrame, spec: TableSpec, rows: list[tuple[Column | None, str, Column]], nested: bool = True, types: dict[str, str] | None = None) -> DataFrame:
-    """rows: (condition or None, kind, image); of each message those whose condition holds, in this order."""
+    """rows: (condition or None, kind, image); of each message those whose condition holds, in this order. Messages that are
+    no JSON objects go after the explosion, an outer one: a filter before it, or one that is inferred, would parse again."""
     parts = []
     for when, kind, image in rows:
         one = F.struct(F.lit(kind).alias("_kind"), image.alias("_image"))
         parts.append(one if when is None else F.when(when, one))
-    out = df.select(*[c for c in META if c != "_kind"], F.posexplode(F.array_compact(F.array(*parts))).alias("_turn", "_row"))
+    out = df.select(*[c for c in META if c != "_kind"], F.posexplode_outer(F.when(F.startswith(F.schema_of_variant("_v"), F.lit("OBJECT")), F.array_compact(F.array(*parts)))).alias("_turn", "_row")).filter("_row is not null")
     data = [_value(F.col("_row._image"), c.name, (types or {}).get(c.name, spark_type(c.type)), nested).alias(c.name) for c in spec.columns]
     return out.select(*data, F.col("_row._kind").alias("_kind"), "_origin", "_seq", "_turn")
 
