@@ -109,11 +109,6 @@ class Dialect:
         return f"DELETE FROM {self.table(table)} WHERE {' AND '.join(f'{self.quoted(c.name)} = {self.placeholder(i, c.type)}' for i, c in enumerate(keys, 1))}"
 
 
-def _table(text: str) -> dict[str, str]:
-    """`ours: theirs, theirs; ...` turned round."""
-    return {theirs.strip(): ours.strip() for line in text.split(";") if line.strip() for ours, _, rest in [line.partition(":")] for theirs in rest.split(",")}
-
-
 # The types of each database.
 MYSQL = Dialect(
     "mysql", "`",
@@ -122,10 +117,14 @@ MYSQL = Dialect(
         "usmallint": "SMALLINT UNSIGNED", "uint": "INT UNSIGNED", "ubigint": "BIGINT UNSIGNED", "float": "FLOAT", "double": "DOUBLE", "string": "TEXT", "bytes": "BLOB",
         "json": "JSON", "date": "DATE", "time": "TIME", "datetime": "DATETIME", "timestamp": "TIMESTAMP", "duration": "BIGINT",
     },
-    outof=_table("""boolean: bool, boolean; tinyint: tinyint; smallint: smallint, smallint unsigned; int: mediumint, mediumint unsigned, int, integer, year;
-        bigint: bigint, bigint unsigned; float: float; double: double, double precision;
-        bytes: binary, varbinary, tinyblob, blob, mediumblob, longblob, bit, geometry, point, linestring, polygon, multipoint, multilinestring, multipolygon, geomcollection;
-        date: date; time: time; datetime: datetime; timestamp: timestamp"""),
+    outof={
+        "bool": "boolean", "boolean": "boolean", "tinyint": "tinyint", "smallint": "smallint", "smallint unsigned": "smallint", "mediumint": "int",
+        "mediumint unsigned": "int", "int": "int", "integer": "int", "year": "int", "bigint": "bigint", "bigint unsigned": "bigint", "float": "float",
+        "double": "double", "double precision": "double", "binary": "bytes", "varbinary": "bytes", "tinyblob": "bytes", "blob": "bytes",
+        "mediumblob": "bytes", "longblob": "bytes", "bit": "bytes", "geometry": "bytes", "point": "bytes", "linestring": "bytes", "polygon": "bytes",
+        "multipoint": "bytes", "multilinestring": "bytes", "multipolygon": "bytes", "geomcollection": "bytes", "date": "date", "time": "time",
+        "datetime": "datetime", "timestamp": "timestamp",
+    },
     decimal="DECIMAL", limits=(65, 30), key_text="VARCHAR(255)",
 )
 POSTGRES = Dialect(
@@ -135,8 +134,12 @@ POSTGRES = Dialect(
         "uint": "NUMERIC(20,0)", "ubigint": "NUMERIC(20,0)", "float": "REAL", "double": "DOUBLE PRECISION", "string": "TEXT", "bytes": "BYTEA", "json": "JSONB", "date": "DATE",
         "time": "TIME", "datetime": "TIMESTAMP", "timestamp": "TIMESTAMPTZ", "duration": "BIGINT",
     },
-    outof=_table("""boolean: bool, boolean; smallint: smallint, smallserial, int2; int: integer, serial, int4; bigint: bigint, bigserial, int8; float: real, float4;
-        double: double precision, float8; decimal(30,2): money; bytes: bytea, geometry, geography; date: date; time: time, timetz; datetime: timestamp; timestamp: timestamptz"""),
+    outof={
+        "bool": "boolean", "boolean": "boolean", "smallint": "smallint", "smallserial": "smallint", "int2": "smallint", "integer": "int",
+        "serial": "int", "int4": "int", "bigint": "bigint", "bigserial": "bigint", "int8": "bigint", "real": "float", "float4": "float",
+        "double precision": "double", "float8": "double", "money": "decimal(30,2)", "bytea": "bytes", "geometry": "bytes", "geography": "bytes",
+        "date": "date", "time": "time", "timetz": "time", "timestamp": "datetime", "timestamptz": "timestamp",
+    },
     decimal="NUMERIC", limits=(255, 127), key_text="TEXT",
     casts={
         "tinyint": "smallint", "smallint": "smallint", "int": "int", "bigint": "bigint", "utinyint": "numeric", "usmallint": "numeric", "uint": "numeric", "ubigint": "numeric",
