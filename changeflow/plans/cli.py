@@ -11,6 +11,9 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("action", choices=["run", "validate", "explain"])
     parser.add_argument("-c", "--config", required=True)
     parser.add_argument("-m", "--master", default=None)
+    parser.add_argument("--checkpoint", default=None, help="run as streams, with checkpoints in this folder")
+    parser.add_argument("--bounded", action="store_true", help="streams end when what is there has been read")
+    parser.add_argument("--run-id", default=None, help="a run that repeats an earlier one's id writes no table twice")
     got = parser.parse_args(args)
     from changeflow.plans import config
 
@@ -33,7 +36,11 @@ def main(args: list[str] | None = None) -> int:
     if got.action == "explain":
         print(job.explain(spark, spec))
         return 0
-    dead = job.run(spark, spec)
+    if got.checkpoint:
+        for q in job.stream(spark, spec, got.checkpoint, got.bounded).values():
+            q.awaitTermination()
+        return 0
+    dead = job.run(spark, spec, name=got.run_id)
     failed = {f"{p}/{s}": e for p, sinks in dead.items() for s, e in sinks.items()}
     for name, e in failed.items():
         print(f"sink {name} failed: {e}", file=sys.stderr)

@@ -86,7 +86,8 @@ def http(df: DataFrame, url: str, method: str = "POST", batch: int = 1, fmt: str
 
 
 def bulk(lines: DataFrame, url: str, most: int = 100, retries: int = 3) -> None:
-    """Sends the lines of `bulk_lines` in requests of `most` actions."""
+    """Sends the lines of `bulk_lines` in requests of `most` actions. All actions on one id are sent by one task, in order;
+    those without an id are spread."""
 
     def send(rows: Iterator) -> None:
         held: list[str] = []
@@ -104,4 +105,41 @@ def bulk(lines: DataFrame, url: str, most: int = 100, retries: int = 3) -> None:
         if held:
             flush()
 
-    lines.repartitionByRange("_seq").sortWithinPartitions("_seq").foreachPartition(send)
+    head = F.substring_index("lines", "\n", 1)
+    ident = F.coalesce(*[F.get_json_object(head, f"$.{act}._id") for act in ("update", "delete", "index")])
+    spread = F.coalesce(F.xxhash64(ident), F.col("_seq"))
+    lines.repartition(spread).sortWithinPartitions("_seq").foreachPartition(send)
+
+
+def clickhouse(changes: DataFrame, url: str, table: str, batch: int = 10_000, retries: int = 3, headers: dict[str, str] | None = None) -> None:
+    """Inserts the rows as lines over the column store's HTTP interface, `batch` rows a request."""
+    from urllib.parse import quote
+
+    from changeflow.operators.changelog import json_each_row
+
+    at = f"{url.rstrip('/')}/?query={quote(f'INSERT INTO {table} FORMAT JSONEachRow')}"
+
+    def send(rows: Iterator) -> None:
+        held: list[str] = []
+
+        def flush() -> None:
+            request = urllib.request.Request(at, data=("\n".join(held) + "\n").encode(), method="POST", headers=headers or {})
+            with_retries(lambda: urllib.request.urlopen(request, timeout=60).close(), retries)
+            held.clear()
+
+        for row in rows:
+            held.append(row["line"])
+            if len(held) >= batch:
+                flush()
+        if held:
+            flush()
+
+    json_each_row(changes).sortWithinPartitions("_seq").foreachPartition(send)
+
+
+def redis(changes: DataFrame, options: dict, data_type: str = "string", key: str = "${f0}", field: str = "${f1}", value: str | None = None) -> None:
+    """Sends a key-value store's commands; all on one key by one task, in order."""
+    from changeflow.operators.changelog import redis_commands
+    from changeflow.sources.redis import send_commands
+
+    redis_commands(changes, data_type, key, field, value).repartition("key").sortWithinPartitions("_seq").foreachPartition(lambda rows: send_commands(rows, options))

@@ -36,9 +36,11 @@ def stop_at(changes: DataFrame, mode: str = "never", ts: str = "ts", boundary: C
 
 
 def hand_over(snapshot: DataFrame, stream: DataFrame, keys: list[str], high: int | None = None) -> DataFrame:
-    """Snapshot rows as inserts, then the stream's changes. Events at or below the snapshot's high mark are already in it."""
-    later = stream if high is None else stream.filter(F.col("_seq") > high)
-    return snapshot.unionByName(later, allowMissingColumns=True).dropDuplicates([*keys, "_seq", "_kind"])
+    """Snapshot rows as inserts, then the stream's changes. Events at or below the snapshot's high mark are already in it;
+    with the mark known nothing can occur twice, and nothing is shuffled."""
+    if high is not None:
+        return snapshot.unionByName(stream.filter(F.col("_seq") > high), allowMissingColumns=True)
+    return snapshot.unionByName(stream, allowMissingColumns=True).dropDuplicates([*keys, "_seq", "_kind"])
 
 
 def retention_gap(oldest: int | None, boundary: int, policy: str = "fail") -> bool:
@@ -103,3 +105,25 @@ def search_rows(df: DataFrame, ident: str = "_id", source: str = "_source") -> D
     """A search index's hits as rows of `fields`: the id, then the document's values in order of their names."""
     got = positional(df.withColumn("_hit", F.col(ident)).select("_hit", F.col(source).alias("_doc")), "_doc", keep=("_hit",))
     return got.select(F.concat(F.array("_hit"), "fields").alias("fields"), "_kind")
+
+
+#: Where messages say which table they are of, and when.
+_DATABASES, _TABLES, _TIMES = ("$.source.db", "$.database", "$._db", "$.db"), ("$.source.table", "$.table", "$._table"), ("$.ts_ms", "$.source.ts_ms", "$.ts", "$.es")
+
+
+def change_messages(messages: DataFrame, spec: TableSpec, fmt: str, column: str = "value", selector=None, startup: str = "initial", stop: str = "never", start_ms: int | None = None, stop_ms: int | None = None, seq: int | None = None, stop_seq: int | None = None, updates: str = "both") -> DataFrame:
+    """A change source that is fed by messages (of a topic or of files), one format and one table's columns.
+
+    `_origin` and `ts_ms` are what the message says; a column `offset` of the input is `_seq`. startup and stop as in
+    start_at and stop_at. updates: `after` for sources without an image before."""
+    text = F.col(column).cast("string")
+    said = lambda paths: F.coalesce(*[F.get_json_object(text, p) for p in paths])
+    database, table = said(_DATABASES), said(_TABLES)
+    order = F.col("offset").cast("bigint") if "offset" in messages.columns else F.monotonically_increasing_id()
+    told = messages.select(text.alias("_message"), order.alias("_seq"), F.when(table.isNotNull(), F.concat_ws(".", database, table)).alias("_origin"), said(_TIMES).cast("bigint").alias("_ms"))
+    if selector is not None:
+        told = told.filter(selector.matches(F.col("_origin")))
+    told = start_at(told, startup, "_ms", None if start_ms is None else F.lit(start_ms), seq)
+    told = stop_at(told, stop, "_ms", None if stop_ms is None else F.lit(stop_ms), stop_seq)
+    got = codecs.decode(told, "_message", spec, fmt)
+    return single_image(got) if updates == "after" else got

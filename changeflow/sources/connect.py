@@ -48,6 +48,17 @@ def jdbc(config: dict, bounds: tuple[int, int] | None = None) -> Reader:
     return Reader("jdbc", options)
 
 
+def jdbc_bounds(spark: SparkSession, config: dict) -> tuple[int, int] | None:
+    """The least and greatest value of the split column: one small query; null if the table is empty or has no split column."""
+    column = config.get("partition.column") or config.get("partition_column")
+    if not column or config.get("query"):
+        return None
+    whole = jdbc(config).options
+    query = f"SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {whole['dbtable']}"
+    row = spark.read.format("jdbc").options(**{k: v for k, v in whole.items() if k != "dbtable"}, query=query).load().first()
+    return None if row is None or row[0] is None else (int(row[0]), int(row[1]))
+
+
 def kafka(config: dict, streaming: bool = True) -> Reader:
     """Start modes: earliest, latest, group-offsets, timestamp, specific-offsets `p:o,p:o`."""
     import json
@@ -84,7 +95,7 @@ def elasticsearch(config: dict) -> Reader:
 
 
 def redis(config: dict) -> Reader:
-    return Reader("changeflow-redis", {"host": _need(config, "host"), "port": str(config.get("port", 6379)), "keys": str(config.get("keys", "*")), "db": str(config.get("db-num", 0))})
+    return Reader("changeflow-redis", {"host": _need(config, "host"), "port": str(config.get("port", 6379)), "keys": str(config.get("keys", "*")), "db": str(config.get("db-num", 0))} | ({"password": str(config["password"])} if config.get("password") else {}))
 
 
 def http(config: dict) -> Reader:
@@ -94,7 +105,3 @@ def http(config: dict) -> Reader:
         raise ValueError("method is GET or POST")
     headers = {f"header.{k[8:]}": str(v) for k, v in config.items() if k.startswith("headers.")}
     return Reader("changeflow-http", options | headers | ({"body": str(config["body"])} if config.get("body") else {}), streaming=poll > 0)
-
-
-def rabbitmq(config: dict) -> Reader:
-    return Reader("changeflow-rabbitmq", {"host": _need(config, "host"), "port": str(config.get("port", 5672)), "vhost": str(config.get("virtual-host", "/")), "queue": _need(config, "queue-name")}, streaming=True)
