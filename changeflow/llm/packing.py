@@ -38,16 +38,20 @@ _SCHEMA = "closed boolean, part long, turn long, key long, start long, length lo
 _PLAIN = re.compile("[\t\n\v\f\r\x20-\x7e\xa1-\xac\xae-įı-ɏ]*").fullmatch
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _KEPT = 200_000
+LONG = 64
 
 
 class Recent(dict):
-    """A dict that forgets what wasn't asked for lately: beyond `most` entries, the last generation but one goes."""
+    """A dict that forgets what wasn't asked for lately: beyond `most` entries, the last generation but one goes. Keys longer
+    than LONG aren't kept, so that its bytes are bounded too."""
 
     def __init__(self, most: int, learn):
         super().__init__()
         self.most, self.learn, self.old = most, learn, {}
 
     def __missing__(self, key: str) -> bytes:
+        if len(key) > LONG:
+            return self.learn(key)
         value = self.old.get(key)
         if value is None:
             value = self.learn(key)
