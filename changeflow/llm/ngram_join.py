@@ -282,7 +282,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     signed = save(rows.mapInArrow(_signer, "row long, key long, hash long, chars long, set binary, size long, sig binary"), "signatures")
     sets = signed.filter("size > 0").groupBy("set").agg(F.min("row").alias("rep"), F.count("*").alias("copies"))
     reps = save(sets, "sets")
-    alone = signed.join(reps.select(F.col("rep").alias("row"), "copies"), "row")
+    # Written once: signatures are most of what moves beside the texts.
+    alone = save(signed.join(reps.select(F.col("rep").alias("row"), "copies"), "row").select("row", "key", "hash", "chars", "sig", "copies"), "representatives")
     member = groups(alone)
     # What each task gets is settled on numbers alone; texts move afterwards.
     sizes = member.join(alone.select("row", "chars"), "row").groupBy("head").agg(F.count("*").alias("m"), F.sum("chars").alias("all"))
