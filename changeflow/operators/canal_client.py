@@ -56,7 +56,7 @@ def value_json(x: Column, kind: T.DataType, zone: str = "UTC") -> Column:
     return F.coalesce(out, F.lit("null"))
 
 
-def _neighbour(df: DataFrame, value: Column, forward: bool, width: int) -> DataFrame:
+def neighbour(df: DataFrame, value: Column, forward: bool, width: int) -> DataFrame:
     """df with `_near`: value of the row before (or after) in the order of `_seq` within `_origin`."""
     df = df.withColumn("_bucket", F.floor(F.col("_seq") / width)).withColumn("_value", value)
     inside = Window.partitionBy("_origin", "_bucket").orderBy("_seq")
@@ -76,8 +76,8 @@ def pair_updates(changes: DataFrame, width: int = BUCKET) -> DataFrame:
     image = F.struct(*[F.col(f"`{c}`") for c in data_columns(changes)])
     updates = changes.filter(F.col("_kind").isin(BEFORE, AFTER))
     tagged = F.struct(F.col("_kind").alias("kind"), image.alias("image"))
-    back = _neighbour(updates, tagged, False, width).withColumn("_old", F.when((F.col("_kind") == AFTER) & (F.col("_near.kind") == BEFORE), F.col("_near.image"))).drop("_near")
-    both = _neighbour(back, F.col("_kind"), True, width)
+    back = neighbour(updates, tagged, False, width).withColumn("_old", F.when((F.col("_kind") == AFTER) & (F.col("_near.kind") == BEFORE), F.col("_near.image"))).drop("_near")
+    both = neighbour(back, F.col("_kind"), True, width)
     lone = ~((F.col("_kind") == BEFORE) & F.coalesce(F.col("_near") == AFTER, F.lit(False)))
     updates = both.filter(lone).withColumn("_event", F.when(F.col("_kind") == BEFORE, "delete").otherwise("update")).drop("_near")
     rest = changes.filter(F.col("_kind").isin(INSERT, DELETE))

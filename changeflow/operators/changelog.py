@@ -58,16 +58,24 @@ def apply_changelog(base: DataFrame | None, changes: DataFrame, keys: list[str],
     return base.select(*names).join(last.select(*keys), keys, "left_anti").unionByName(now)
 
 
-def runs(changes: DataFrame, policy: Policy = JDBC) -> DataFrame:
+def runs(changes: DataFrame, policy: Policy = JDBC, width: int | None = None) -> DataFrame:
     """changes with `_run`: a new one begins wherever writes turn to deletes or back, within a partition of `_origin`.
 
-    Sinks that must keep the order of arrival send one statement per run."""
+    Sinks that must keep the order of arrival send one statement per run. Turns are counted in buckets of `_seq`, whose edges
+    and sums are handed on, so that a hot table is many tasks' work."""
     from pyspark.sql import Window
 
-    order = Window.partitionBy("_origin").orderBy("_seq")
-    acts = effective(changes, policy)
-    turn = F.when(F.col("_op") != F.lag("_op").over(order), 1).otherwise(0)
-    return acts.withColumn("_turn", turn).withColumn("_run", F.sum("_turn").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint")).drop("_turn")
+    from changeflow.operators.canal_client import BUCKET, neighbour
+
+    width = width or BUCKET
+    acts = neighbour(effective(changes, policy), F.col("_op"), False, width)
+    acts = acts.withColumn("_turn", F.when(F.col("_op") != F.col("_near"), 1).otherwise(0)).withColumn("_bucket", F.floor(F.col("_seq") / width)).drop("_near")
+    across = Window.partitionBy("_origin").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = acts.groupBy("_origin", "_bucket").agg(F.sum("_turn").alias("_sum"))
+    ahead = sums.select(F.col("_origin").alias("_o"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_sum").over(across), F.lit(0)).alias("_ahead"))
+    inside = Window.partitionBy("_origin", "_bucket").orderBy("_seq").rowsBetween(Window.unboundedPreceding, 0)
+    met = acts.withColumn("_run", F.sum("_turn").over(inside)).join(ahead, F.col("_origin").eqNullSafe(F.col("_o")) & (F.col("_bucket") == F.col("_b")))
+    return met.withColumn("_run", (F.col("_run") + F.col("_ahead")).cast("bigint")).drop("_turn", "_bucket", "_o", "_b", "_ahead")
 
 
 def document_id(df: DataFrame, keys: list[str], delimiter: str = "_") -> Column:
