@@ -121,3 +121,18 @@ def encode(changes: DataFrame, fields: Fields, zone: str = "UTC", naming: str =
             any_change = any_change | c
         paired = paired.filter(~have_old | any_change)
     return paired.select("_origin", "_seq", F.coalesce(display(F.col(f"`{fields.key}`"), own[fields.key]), F.lit("")).alias("key"), message.alias("payload"))
+
+
+def encode_tables(changes: DataFrame, registry: dict[str, Fields], zone: str = "UTC", naming: str = "camel", width: int = BUCKET, request_id: Column | None = None) -> DataFrame:
+    """encode() for several tables, each with the fields that are registered for its origin. A row of any other origin, or of
+    none, fails the job: it was never registered, so nobody knows its fields."""
+    if not registry:
+        raise ValueError("no table is registered")
+    foreign = ~F.coalesce(F.col("_origin").isin(*registry), F.lit(False))
+    told = F.concat(F.lit("a row of "), F.coalesce("_origin", F.lit("no table")), F.lit(", which is not registered"))
+    known = changes.withColumn("_origin", F.when(foreign, F.raise_error(told).cast("string")).otherwise(F.col("_origin")))
+    parts = [encode(known.filter(F.col("_origin") == origin), fields, zone, naming, width, request_id) for origin, fields in registry.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -171,6 +171,20 @@ def _(s, d):
     return codecs.decode(_message(s, d, _json(type=_op("bootstrap-insert", "update", "delete"), data=_ROW(), old=F.struct(_WAS().alias("name")))), "m", SPEC, "maxwell-json")
 
 
+@query("decode_canal_client", f"WITH {CHANGES} SELECT user_id, name, value, flag, CASE WHEN _kind LIKE 'UPDATE%' THEN 'UPDATE_AFTER' ELSE _kind END AS _kind, _origin, _seq FROM c")
+def _(s, d):
+    return codecs.decode(_message(s, d, _json(eventType=_op("insert", "Update", "delete"), data=_ROW())), "m", SPEC, "canal-client-json")
+
+
+@query("canal_client_tables", f"""WITH {CHANGES}, x AS (SELECT * FROM c WHERE _kind IN ('INSERT', 'DELETE') AND _origin IN ('shop.signup', 'shop.error'))
+  SELECT _origin, _seq, CAST(user_id AS VARCHAR) AS key, '{{"data":{{"' || CASE WHEN _origin = 'shop.signup' THEN 'id' ELSE 'who' END || '":' || user_id || '}},"db_name":"shop","event_type":"' || lower(_kind) || '","request_id":"r' || _seq || '","table_name":"' || split_part(_origin, '.', 2) || '"}}' AS payload
+  FROM x""".replace("{{", "{").replace("}}", "}"))
+def _(s, d):
+    rows = changes(s, d).filter("_kind IN ('INSERT', 'DELETE') AND _origin IN ('shop.signup', 'shop.error')")
+    registry = {"shop.signup": canal_client.Fields("user_id", {"user_id": "id"}), "shop.error": canal_client.Fields("user_id", {"user_id": "who"})}
+    return canal_client.encode_tables(rows, registry, naming="snake", width=100, request_id=F.concat(F.lit("r"), "_seq"))
+
+
 @query("decode_debezium", f"""WITH {CHANGES} SELECT user_id, 'was ' || user_id AS name, value, flag, 'UPDATE_BEFORE' AS _kind, _origin, _seq FROM c WHERE _kind LIKE 'UPDATE%' UNION ALL
   SELECT user_id, CASE WHEN _kind = 'DELETE' THEN 'was ' || user_id ELSE name END, value, flag, CASE WHEN _kind LIKE 'UPDATE%' THEN 'UPDATE_AFTER' ELSE _kind END, _origin, _seq FROM c""")
 def _(s, d):
@@ -333,14 +347,15 @@ def _(s, d):
 
 @query("match_transactions", """WITH p AS (SELECT o_orderkey AS handle, o_orderkey * 10 AS start_ts, o_orderkey * 10 + 5 AS commit_ts, o_orderstatus AS st, o_orderpriority AS v FROM orders)
   SELECT handle, CASE WHEN st = 'F' THEN NULL ELSE v END AS value, CASE WHEN st = 'F' THEN 'DELETE' WHEN handle % 2 = 0 THEN 'UPDATE_AFTER' ELSE 'INSERT' END AS _kind, CAST(NULL AS VARCHAR) AS _origin, commit_ts AS _seq
-  FROM p WHERE handle % 5 <> 0 AND handle % 7 <> 0 AND commit_ts <= 40000""")
+  FROM p WHERE handle % 5 <> 0 AND handle % 7 <> 0 AND commit_ts <= (SELECT max(commit_ts) * 9 // 10 FROM p)""")
 def _(s, d):
     o = table(s, d, "orders").select(F.col("o_orderkey").alias("handle"), (F.col("o_orderkey") * 10).alias("start_ts"), "o_orderstatus", "o_orderpriority")
     none = F.lit(None).cast("string")
     pre = o.select(F.lit("prewrite").alias("type"), F.when(F.col("o_orderstatus") == "F", "delete").otherwise("put").alias("op"), "handle", "start_ts", F.lit(None).cast("bigint").alias("commit_ts"), F.col("o_orderpriority").alias("value"), F.when((F.col("handle") % 2 == 0) & (F.col("o_orderstatus") != "F"), "was").alias("old_value"))
     com = o.filter("handle % 7 <> 0").select(F.lit("commit").alias("type"), none.alias("op"), "handle", "start_ts", (F.col("start_ts") + 5).alias("commit_ts"), none.alias("value"), none.alias("old_value"))
     back = o.filter("handle % 5 = 0").select(F.lit("rollback").alias("type"), none.alias("op"), "handle", "start_ts", F.lit(None).cast("bigint").alias("commit_ts"), none.alias("value"), none.alias("old_value"))
-    return transactions.match(pre.unionByName(com).unionByName(back), 40000)
+    reached = o.agg(F.expr("(max(start_ts) + 5) * 9 div 10").alias("resolved_ts"))
+    return transactions.match(pre.unionByName(com).unionByName(back), reached)
 
 
 @query("resolved_ts", "SELECT min(t) AS resolved_ts FROM (SELECT event_type, min(event_id) AS t FROM events GROUP BY event_type)")

@@ -51,9 +51,35 @@ def pair_stream(changes: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
     )
 
 
-def match_stream(prewrites: DataFrame, commits: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """A stream-stream join by (handle, start_ts); both sides carry `ts`, whose watermark bounds the state."""
-    left = prewrites.withWatermark("ts", delay)
-    right = commits.withWatermark("ts", delay).select(F.col("handle").alias("c_handle"), F.col("start_ts").alias("c_start"), "commit_ts", F.col("ts").alias("c_ts"))
-    near = F.expr(f"c_ts >= ts AND c_ts <= ts + interval {delay}")
-    return left.join(right, (F.col("handle") == F.col("c_handle")) & (F.col("start_ts") == F.col("c_start")) & near).drop("c_handle", "c_start", "c_ts")
+def match_stream(prewrites: DataFrame, commits: DataFrame, rollbacks: DataFrame | None = None) -> DataFrame:
+    """Prewrites with the commit_ts of their commits, by (handle, start_ts), in whatever order and however late they come; a
+    rollback undoes its prewrite. What is held is the open transactions; the resolved timestamp is for the reader to apply."""
+    body = [c for c in prewrites.columns if c not in ("handle", "start_ts")]
+    none = F.lit(None)
+    one = lambda df, kind, ts, text: df.select("handle", "start_ts", F.lit(kind).alias("kind"), ts.cast("long").alias("commit_ts"), text.cast("string").alias("body"))
+    rows = one(prewrites, "prewrite", none, F.to_json(F.struct(*body))).unionByName(one(commits, "commit", F.col("commit_ts"), none))
+    if rollbacks is not None:
+        rows = rows.unionByName(one(rollbacks, "rollback", none, none))
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        text, ts, undone = state.get if state.exists else (None, None, False)
+        for frame in frames:
+            for kind, commit_ts, own in zip(frame["kind"], frame["commit_ts"], frame["body"], strict=True):
+                if kind == "prewrite":
+                    text = own
+                elif kind == "commit":
+                    ts = int(commit_ts)
+                else:
+                    undone = True
+        if text is not None and (undone or ts is not None):
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame({"handle": [] if undone else [key[0]], "start_ts": [] if undone else [key[1]], "commit_ts": [] if undone else [ts], "body": [] if undone else [text]})
+        else:
+            state.update((text, ts, undone))
+
+    done = rows.groupBy("handle", "start_ts").applyInPandasWithState(
+        step, "handle long, start_ts long, commit_ts long, body string", "body string, commit_ts long, undone boolean", "append", GroupStateTimeout.NoTimeout
+    )
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prewrites.schema if f.name in body)
+    return done.withColumn("_body", F.from_json("body", shape)).select("handle", "start_ts", "_body.*", "commit_ts")

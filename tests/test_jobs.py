@@ -218,17 +218,32 @@ def test_matching_stream(spark, tmp_path):
     ts = F.col("ts").cast("timestamp")
     spark.createDataFrame(pre, "handle long, start_ts long, ts string, value string").withColumn("ts", ts).write.parquet(f"{tmp_path}/p")
     spark.createDataFrame(com, "handle long, start_ts long, commit_ts long, ts string").withColumn("ts", ts).write.parquet(f"{tmp_path}/c")
+    spark.createDataFrame([(4, 40), (77, 770)], "handle long, start_ts long").write.parquet(f"{tmp_path}/r")
+    late = spark.createDataFrame([(1, 10, 15, "2024-01-09 00:00:00")], "handle long, start_ts long, commit_ts long, ts string").withColumn("ts", ts)
     p = spark.readStream.schema("handle long, start_ts long, ts timestamp, value string").parquet(f"{tmp_path}/p")
     c = spark.readStream.schema("handle long, start_ts long, commit_ts long, ts timestamp").parquet(f"{tmp_path}/c")
-    q = stateful.match_stream(p, c).writeStream.format("memory").queryName("matched").option("checkpointLocation", f"{tmp_path}/k").start()
+    back = spark.readStream.schema("handle long, start_ts long").parquet(f"{tmp_path}/r")
+    q = stateful.match_stream(p, c, back).writeStream.format("memory").queryName("matched").option("checkpointLocation", f"{tmp_path}/k").start()
     try:
         for _ in range(60):
-            if spark.table("matched").count() >= 5:
+            if spark.table("matched").count() >= 4:
                 break
             q.awaitTermination(1)
+        late.write.mode("append").parquet(f"{tmp_path}/c")  # days after its prewrite
+        q.processAllAvailable()
     finally:
         q.stop()
-    assert sorted((r.handle, r.commit_ts, r.value) for r in spark.table("matched").collect()) == [(k, k * 10 + 5, f"v{k}") for k in range(0, 10, 2)]
+    assert sorted((r.handle, r.commit_ts, r.value) for r in spark.table("matched").collect()) == [(k, k * 10 + 5, f"v{k}") for k in (0, 1, 2, 6, 8)]
+
+
+def test_foreign_tables_are_rejected(spark):
+    from changeflow.operators import canal_client
+
+    rows = as_changes(spark.createDataFrame([(1,)], "id long"), origin=F.lit("s.other"))
+    with pytest.raises(Exception, match="not registered"):
+        canal_client.encode_tables(rows, {"s.t": canal_client.Fields("id", {"id": "id"})}).collect()
+    with pytest.raises(ValueError):
+        canal_client.encode_tables(rows, {})
 
 
 def test_metrics_and_splits(spark):
