@@ -4,8 +4,11 @@ Every version of every path is content-addressed (SHA-256 of its text). The ledg
 of which rules have scanned it and what they found. A scan takes one path of each blob that some rule version has not
 seen, applies just the missing rules to it, appends the outcome to the ledger and joins findings back to all paths.
 
-Only hashes and path ids are grouped, so thousands of copies of one text cost one scan and small rows. Texts move once,
-to meet the list of blobs to scan; that list is the build side of a hash join, so texts are never sorted.
+Only hashes and path ids are grouped, so thousands of copies of one text cost one scan and small rows. A first scan moves
+each text once, to meet the list of blobs to scan; that list is the build side of a hash join, so texts are never sorted.
+A later scan writes the list of unseen blobs first: if it is empty no text is read for it, and while it is short (FEW) it
+is broadcast and no text moves. Findings are written before they are joined back, so that their size is known: they are
+broadcast below Spark's own threshold, and only beyond it do texts that are carried along move again.
 
 Defined results: a null text counts as empty; repeated rows each get the findings of their blob; an empty table gives no
 rows; other columns are carried along untouched (but for `_blob` and `_spans`, which are replaced).
@@ -18,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changeflow.llm.common import let, match_spans, scratch_path, tagged
+from changeflow.llm.common import let, match_spans, save, scratch_path, tagged
 
 
 @dataclass(frozen=True)
@@ -66,7 +69,11 @@ PEM = rf"-----BEGIN ([A-Z ]{{0,40}}PRIVATE KEY)-----(?:(?:[^-]++|-(?!----))*+---
 #: For redaction: a private key with its body. The SQL of scans knows the BEGIN line alone.
 WHOLE_RULES = tuple(Rule("pem", PEM, hint="-----BEGIN ", version=2) if r.kind == "pem" else r for r in RULES)
 
+#: Unseen blobs whose list is still broadcast: some 250 bytes each.
+FEW = 10_000
+
 _FOUND = "array<struct<s:bigint,k:int,e:bigint,kind:string,m:string>>"
+_LEDGER = f"_blob string, scanned array<string>, found {_FOUND}"
 
 
 def scan(versions: DataFrame, path: str = "doc_id", text: str = "text", ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -84,19 +91,26 @@ def scan(versions: DataFrame, path: str = "doc_id", text: str = "text", ledger:
     else:
         done = seen.groupBy("_blob").agg(F.array_distinct(F.flatten(F.collect_list("scanned"))).alias("_done"))
         unseen = F.array_except(F.array(*map(F.lit, keys)), F.coalesce("_done", F.array().cast("array<string>")))
-        todo = blobs.join(done, "_blob", "left").select("_blob", "_path", unseen.alias("_todo")).filter(F.size("_todo") > 0)
-    todo = todo.withColumnRenamed("_blob", "_want").hint("shuffle_hash")
+        todo = save(blobs.join(done, "_blob", "left").select("_blob", "_path", unseen.alias("_todo")).filter(F.size("_todo") > 0), "unseen")
+    many = FEW + 1 if seen is None else todo.limit(FEW + 1).count()
+    if many:
+        todo = todo.withColumnRenamed("_blob", "_want")
+        _scan_blobs(addressed, path, content, F.broadcast(todo) if many <= FEW else todo.hint("shuffle_hash"), rules, ledger)
+    # A rule that has changed leaves findings of its old version in the ledger: only rows of current versions count.
+    now = spark.read.schema(_LEDGER).parquet(ledger).select("_blob", F.filter("found", _current(rules, F.col("scanned"))).alias("found")).filter(F.size("found") > 0)
+    # Distinct: a scan that was run again, or one beside this one, may have written a blob's findings twice.
+    found = save(now.groupBy("_blob").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("_spans")), "findings")
+    return addressed.join(found, "_blob", "left").withColumn("_spans", F.coalesce("_spans", F.array().cast(_FOUND)))
+
+
+def _scan_blobs(addressed: DataFrame, path: str, content: Column, todo: DataFrame, rules: tuple[Rule, ...], ledger: str) -> None:
+    """One path of each blob in todo, its missing rules applied, the outcome appended to the ledger."""
     one = addressed.select("_blob", F.col(path).alias("_p"), content.alias("_text"))
     fresh = one.join(todo, (one["_p"].eqNullSafe(todo["_path"])) & (one["_blob"] == todo["_want"]))
     none = F.array().cast(_FOUND)
     parts = [F.when(F.array_contains("_todo", r.key), F.coalesce(r.spans(F.col("_text"), k), none)).otherwise(none) for k, r in enumerate(rules)]
     scanned = fresh.select("_blob", F.col("_todo").alias("scanned"), F.concat(*parts).cast(_FOUND).alias("found"))
     scanned.dropDuplicates(["_blob"]).write.mode("append").parquet(ledger)
-    # A rule that has changed leaves findings of its old version in the ledger: only rows of current versions count.
-    now = spark.read.parquet(ledger).select("_blob", F.filter("found", _current(rules, F.col("scanned"))).alias("found")).filter(F.size("found") > 0)
-    # Distinct: a scan that was run again, or one beside this one, may have written a blob's findings twice.
-    found = now.groupBy("_blob").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("_spans"))
-    return addressed.join(found, "_blob", "left").withColumn("_spans", F.coalesce("_spans", none))
 
 
 def _current(rules: tuple[Rule, ...], scanned: Column):
@@ -109,7 +123,7 @@ def _ledger(df: DataFrame, path: str) -> DataFrame | None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         return None
-    return spark.read.parquet(path)
+    return spark.read.schema(_LEDGER).parquet(path)
 
 
 def redact(scanned: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
