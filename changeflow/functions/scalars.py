@@ -50,6 +50,38 @@ def from_ordered_key(key: Column) -> Column:
     return F.conv(key, 16, -10).cast("bigint").bitwiseXOR(F.lit(-(1 << 63)))
 
 
+def varint(value: Column) -> Column:
+    """The bytes, as hex, of a 64-bit value in groups of seven bits, the low ones first; negative values take ten bytes."""
+    value = value.cast("bigint")
+    rest = lambda k: F.shiftrightunsigned(value, k)
+    # A shift by 70 would be one by 6: nothing follows the tenth group.
+    more = [F.when(rest(7 * (k + 1)) != 0, 128).otherwise(0) if k < 9 else F.lit(0) for k in range(10)]
+    groups = [F.lpad(F.hex(rest(7 * k).bitwiseAND(F.lit(127)) + more[k]), 2, "0") for k in range(10)]
+    return F.when(value.isNotNull(), F.concat(groups[0], *[F.when(rest(7 * k) != 0, groups[k]).otherwise("") for k in range(1, 10)]))
+
+
+def from_varint(text: Column) -> Column:
+    """The value of a varint's hex; bits beyond 64 are dropped."""
+    total = F.lit(0).cast("bigint")
+    for k in range(10):
+        byte = F.coalesce(F.conv(F.nullif(F.substring(text, 2 * k + 1, 2), F.lit("")), 16, 10).cast("bigint"), F.lit(0))
+        total = total.bitwiseOR(F.shiftleft(byte.bitwiseAND(F.lit(127)), 7 * k))
+    return F.when(text.isNotNull(), total)
+
+
+def memcomparable(value: Column) -> Column:
+    """Bytes, as hex, that sort like the text's bytes even if others follow: groups of eight, each with a mark of how many
+    of its bytes count (0xFF for all eight); there is always a group that isn't full."""
+    digits = F.hex(value.cast("binary"))
+    n = F.octet_length(value)
+
+    def group(k: Column) -> Column:
+        counted = F.least(n - 8 * k, F.lit(8))
+        return F.concat(F.rpad(F.substr(digits, 16 * k + 1, F.lit(16)), 16, "0"), F.lpad(F.hex(247 + counted), 2, "0"))
+
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.floor(n / 8).cast("int")), group), "")
+
+
 def flatten_config(config: dict, prefix: str = "") -> dict[str, str]:
     """Nested settings as dotted keys; lists of scalars comma-joined, other lists as JSON text, null as empty."""
     import json

@@ -83,6 +83,12 @@ def nearest_rank(df: DataFrame, by: list[str], value: str, points: dict[str, flo
     return ranked.groupBy(*by).agg(F.sum("_c").alias("n"), *picks, (F.sum(F.col(value) * F.col("_c")) / F.sum("_c")).alias("avg"), F.max(value).alias("max"))
 
 
+def tumbling(df: DataFrame, ts: str, value: str, points: dict[str, float], by: list[str] | None = None, width: str = "10 seconds") -> DataFrame:
+    """nearest_rank by windows of a fixed width, each named by its start (`window_start`); rows without a time are in none."""
+    at = df.filter(F.col(ts).isNotNull()).withColumn("window_start", F.window(ts, width)["start"])
+    return nearest_rank(at, [*(by or []), "window_start"], value, points)
+
+
 def in_flight(sent: Column, delivered: Column, failed: Column) -> Column:
     """Never below zero."""
     return F.greatest(sent - delivered - failed, F.lit(0))

@@ -16,7 +16,7 @@ from changeflow.operators.filters import filter_by_index
 from changeflow.operators.routing import TableSelector
 from changeflow.plans.config import ConfigError, JobSpec, Pipeline, Plugin, Rules
 from changeflow.sinks import dbapi, external, tables
-from changeflow.sources import cdc, connect, fake
+from changeflow.sources import catalog, cdc, connect, fake
 from changeflow.sources import http as http_source
 from changeflow.sources import redis as redis_source
 from changeflow.streaming import fanout
@@ -169,9 +169,9 @@ def sink(spark: SparkSession, plugin: Plugin, name: str = "") -> fanout.Write:
         return target.write
     if plugin.key == "jdbc":
         who = {"user": o.get("username") or o.get("user"), "password": o.get("password")}
-        own = table_spec(plugin.options, o["table"])
+        own = table_spec(plugin.options, o["table"]) or catalog.Catalog(o["url"], **who).spec(o["table"])
         if own is None:
-            raise ConfigError("sink jdbc: needs columns")
+            raise ConfigError("sink jdbc: needs columns, or a table that is there")
         dbapi.open_table(o["url"], own, o.get("schema-save-mode", "CREATE_SCHEMA_WHEN_NOT_EXIST"), o.get("data-save-mode", "APPEND_DATA"), o.get("custom-sql"), **who)
         return lambda df, _: dbapi.write(df, own, o["url"], int(o.get("batch-size", 1000)), int(o.get("connections", 8)), **who)
     if plugin.key == "kafka":

@@ -398,6 +398,14 @@ def _(s, d):
     return got.withColumn("avg", F.round("avg", 6))
 
 
+@query("tumbling_p99", """WITH o AS (SELECT *, row_number() OVER (PARTITION BY hour, event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY hour, event_type) AS n
+    FROM (SELECT event_type, date_trunc('hour', ts) AS hour, value FROM events WHERE ts IS NOT NULL AND value IS NOT NULL))
+  SELECT event_type, strftime(hour, '%Y-%m-%d %H') AS at, max(n) AS n, max(CASE WHEN i = floor((n - 1) * 0.99 + 0.5) THEN value END) AS p99, max(value) AS max FROM o GROUP BY event_type, hour""")
+def _(s, d):
+    got = metrics.tumbling(table(s, d, "events"), "ts", "value", {"p99": 0.99}, ["event_type"], "1 hour")
+    return got.select("event_type", F.date_format("window_start", "yyyy-MM-dd HH").alias("at"), "n", "p99", "max")
+
+
 @query("in_flight", f"WITH {CHANGES} SELECT _seq, greatest(user_id - 20 - _seq % 3, 0) AS gauge FROM c")
 def _(s, d):
     return changes(s, d).select("_seq", metrics.in_flight(F.col("user_id"), F.lit(20), F.col("_seq") % 3).alias("gauge"))
@@ -438,6 +446,19 @@ def _(s, d):
     return fake.rows(s, 100)
 
 
+@query("fake_engine_source", "SELECT i AS f0, 'row_' || i AS f1, i % 2 = 0 AS f2, CAST(NULL AS VARCHAR) AS f3, CAST(NULL AS VARCHAR) AS f4, 'INSERT' AS _kind, CAST(NULL AS VARCHAR) AS _origin, i AS _seq FROM range(100) t(i)")
+def _(s, d):
+    return fake.rows(s, 100, "row_", 5)
+
+
+@query("row_from_map", f"WITH {CHANGES} SELECT user_id, name, CAST(NULL AS DOUBLE) AS value, CASE WHEN _seq % 3 = 0 THEN flag END AS flag, _kind, _origin, _seq FROM c")
+def _(s, d):
+    c = changes(s, d)
+    flag = F.when(F.col("_seq") % 3 == 0, F.col("flag").cast("string")).otherwise("neither")
+    values = F.create_map(F.lit("flag"), flag, F.lit("user_id"), F.col("user_id").cast("string"), F.lit("name"), F.col("name"), F.lit("other"), F.lit("x"))
+    return T.from_map(c, values, SPEC)
+
+
 @query("evolve_rows", f"WITH {CHANGES} SELECT user_id, name AS full_name, CAST(value AS BIGINT) AS value, CAST(NULL AS DOUBLE) AS score, _kind, _origin, _seq FROM (SELECT * REPLACE (trunc(value) AS value) FROM c)")
 def _(s, d):
     alter = ev.parse_alter("ALTER TABLE shop.users ADD COLUMN score DOUBLE, RENAME COLUMN name TO full_name, MODIFY value BIGINT, DROP COLUMN flag")
@@ -465,6 +486,16 @@ def _(s, d):
     return e.select("event_id", tso.alias("tso"), scalars.millis_of_tso(tso).alias("back"), key.alias("ordered"), scalars.from_ordered_key(key).alias("restored"))
 
 
+@query("byte_keys", """WITH e AS (SELECT event_id, event_id * event_id * 1000003 AS n, event_type || CASE WHEN event_id % 3 = 0 THEN props ELSE '' END AS t FROM events),
+  h AS (SELECT *, hex(encode(t)) AS x, strlen(t) AS l FROM e)
+  SELECT event_id, array_to_string([lpad(to_hex(((n >> (7 * k)) & 127) + CASE WHEN (n >> (7 * k + 7)) > 0 THEN 128 ELSE 0 END), 2, '0') FOR k IN range(0, 8) IF k = 0 OR (n >> (7 * k)) > 0], '') AS varint,
+    n AS restored, array_to_string([rpad(substr(x, 16 * k + 1, 16), 16, '0') || to_hex(247 + least(l - 8 * k, 8)) FOR k IN range(0, l // 8 + 1)], '') AS sortable FROM h""")
+def _(s, d):
+    k = F.col("event_id")
+    e = table(s, d, "events").select("event_id", (k * k * 1000003).alias("n"), F.concat("event_type", F.when(k % 3 == 0, F.col("props")).otherwise("")).alias("t"))
+    return e.select("event_id", scalars.varint(F.col("n")).alias("varint"), scalars.from_varint(scalars.varint(F.col("n"))).alias("restored"), scalars.memcomparable(F.col("t")).alias("sortable"))
+
+
 @query("json_each_row", f"""WITH {CHANGES} SELECT _seq, {_TYPED_ROW} AS line FROM c WHERE _kind IN ('INSERT', 'UPDATE_AFTER')""")
 def _(s, d):
     return changelog.json_each_row(changes(s, d))

@@ -16,6 +16,7 @@ from changeflow.schema.evolution import Change
 from changeflow.sinks import dbapi, external, tables
 from changeflow.sinks.tables import TableSink, VersionedTable
 from changeflow.sources import fake
+from changeflow.sources.catalog import Catalog
 from changeflow.streaming import fanout
 
 
@@ -143,6 +144,30 @@ def test_a_database_sink(spark, tmp_path):
     assert len(con.execute("PRAGMA table_info(users)").fetchall()) == 4
 
 
+def test_a_catalog_and_a_sink_without_columns(spark, tmp_path):
+    url = f"jdbc:sqlite:{tmp_path}/db"
+    known = Catalog(url)
+    assert known.tables() == [] and not known.exists("users") and not (tmp_path / "db").exists()
+    dbapi.execute(url, ["CREATE TABLE users (f0 BIGINT PRIMARY KEY, f1 VARCHAR(20) NOT NULL, f2 BOOLEAN, price DECIMAL(12,2), at TIMESTAMP, raw BLOB, odd whatever)"])
+    spec = known.spec("users")
+    assert [(c.name, c.type) for c in spec.columns] == [
+        ("f0", "bigint"), ("f1", "string"), ("f2", "boolean"), ("price", "decimal(12,2)"), ("at", "datetime"), ("raw", "bytes"), ("odd", "string"),
+    ]
+    assert spec.primary_key == ["f0"] and [c.nullable for c in spec.columns[:3]] == [False, False, True]
+    assert known.tables() == ["users"] and known.exists("main.users") and not known.exists("nope") and known.count("users") == 0
+    job_of = spec_of({"Fake": {"row.num": 6}}, {"JDBC": {"url": url, "table": "users"}})
+    assert job.run(spark, job_of) == {"pipeline-0": {}} and job.run(spark, job_of) == {"pipeline-0": {}}
+    assert known.count("users") == 6
+
+
+def test_types_that_a_catalog_reads():
+    my, post = Catalog("jdbc:mysql://h/d"), Catalog("jdbc:postgresql://h/d")
+    assert [my._type(t) for t in ("bigint unsigned", "tinyint(1)", "tinyint(4)", "varchar(20)", "int(11)", b"datetime(6)")] == ["bigint", "boolean", "tinyint", "string", "int", "datetime"]
+    assert my._type("decimal(12,2)") == my._type("decimal(12,2) unsigned") == post._type("numeric", 12, 2) == "decimal(12,2)"
+    assert [post._type(t) for t in ("int8", "timestamptz", "_int4", "uuid")] == ["bigint", "timestamp", "array<int>", "string"]
+    assert my._where("d.t") == ("table_name = ? AND table_schema = ?", ["t", "d"]) and post._where("t") == ("table_name = ? AND table_schema = current_schema()", ["t"])
+
+
 def test_statements_in_drivers_own_marks():
     spec = TableSpec.of("s.t", "id", id="bigint", v="double", n="string")
     cols = list(spec.columns)
