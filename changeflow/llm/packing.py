@@ -37,7 +37,10 @@ _SCHEMA = "closed boolean, part long, turn long, key long, start long, length lo
 #: Letters that are lower-cased one by one alike everywhere, that NFC leaves alone, and white space that all split at.
 _PLAIN = re.compile("[\t\n\v\f\r\x20-\x7e\xa1-\xac\xae-įı-ɏ]*").fullmatch
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_KEPT = 200_000
+#: What may stand behind a word's letters as one piece.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words and pieces kept in each of two generations.
+_KEPT = 400_000
 LONG = 64
 
 
@@ -72,20 +75,26 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.pieces_of = regex.compile(_SPLIT).findall
-        self.as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.shown = {k: as_bytes(chr(k))[0][0] for k in range(0xA1, 0x250) if _PLAIN(chr(k))}
         self.merge = self.tokenizer.model.tokenize
-        self.pieces = Recent(_KEPT, self._piece)
+        self.bytes_of = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
         self.words = Recent(_KEPT, self._word)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        shown = piece if piece.isascii() else self.as_bytes(piece)[0][0]
-        return b"".join([t.id.to_bytes(4, "little") for t in self.merge(shown)])
+        shown = piece if piece.isascii() else piece.translate(self.shown)
+        return b"".join([self.bytes_of[t.id] for t in self.merge(shown)])
 
     def _word(self, word: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.pieces_of(word)))
+        """A word's pieces are words themselves, so both are kept in one place. Most words are letters, and marks behind them."""
+        letters = word.rstrip(_MARKS)
+        if letters.isalpha():
+            return self._piece(word) if letters == word else self.words[letters] + self.words[word[len(letters) :]]
+        pieces = self.pieces_of(word)
+        return self._piece(word) if len(pieces) == 1 else b"".join(map(self.words.__getitem__, pieces))
 
     def encode(self, text: str) -> bytes:
         if _PLAIN(text) is None or "<|" in text:
